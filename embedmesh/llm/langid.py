@@ -43,18 +43,24 @@ class Model:
 
 
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each padded by at least REACH zeros to whole windows, and the number of windows of each."""
+    """(windows, WINDOW + REACH - 1) bytes: each window and what its last filters reach of the same text, else zeros; and
+    the number of windows of each text."""
     parts, counts = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass").lower()
-        counts[i] = n = -(-(len(raw) + REACH) // WINDOW) if raw else 0
+        counts[i] = n = -(-len(raw) // WINDOW)
         parts.append(raw.ljust(n * WINDOW, b"\0"))
-    return np.frombuffer(b"".join(parts), np.uint8), counts
+    data = np.frombuffer(b"".join([*parts, bytes(REACH)]), np.uint8)
+    wide = np.lib.stride_tricks.as_strided(data, (int(counts.sum()), WINDOW + REACH - 1), (WINDOW, 1)).copy()
+    wide[np.cumsum(counts)[counts > 0] - 1, WINDOW:] = 0
+    return wide, counts
 
 
-def _unrolled(embedded: np.ndarray, n: int) -> np.ndarray:
-    """(n, REACH * DIM): the embeddings of each position and the next REACH - 1."""
-    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(embedded, (n, REACH * DIM), (4 * DIM, 4)))
+def _unrolled(embedded: np.ndarray) -> np.ndarray:
+    """(m * WINDOW, REACH * DIM): at each place of m windows the embeddings of it and the next REACH - 1 bytes."""
+    m, wide, _ = embedded.shape
+    view = np.lib.stride_tricks.as_strided(embedded, (m, WINDOW, REACH * DIM), (4 * DIM * wide, 4 * DIM, 4))
+    return np.ascontiguousarray(view).reshape(m * WINDOW, REACH * DIM)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -62,15 +68,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def window_probabilities(model: Model, data: np.ndarray) -> np.ndarray:
-    """(windows, languages). A window's last filters reach into the next window of its text, or into zeros."""
-    n = len(data) // WINDOW
-    padded = np.concatenate((data, np.zeros(REACH, np.uint8)))
-    pooled = np.empty((n, model.filters.shape[1]), np.float32)
-    for at in range(0, n, _BLOCK):
-        m = min(_BLOCK, n - at)
-        embedded = model.embed[padded[at * WINDOW : (at + m) * WINDOW + REACH - 1]]
-        pooled[at : at + m] = (_unrolled(embedded, m * WINDOW) @ model.filters).reshape(m, WINDOW, -1).max(1)
+def window_probabilities(model: Model, wide: np.ndarray) -> np.ndarray:
+    """(windows, languages) of the windows that stream() gives."""
+    pooled = np.empty((len(wide), model.filters.shape[1]), np.float32)
+    for at in range(0, len(wide), _BLOCK):
+        some = wide[at : at + _BLOCK]
+        pooled[at : at + _BLOCK] = (_unrolled(model.embed[some]) @ model.filters).reshape(len(some), WINDOW, -1).max(1)
     return _softmax(np.maximum(pooled + model.bias, 0) @ model.out + model.out_bias)
 
 
@@ -82,7 +85,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
         return langs, scores
     data, counts = stream([texts[i] for i in known])
     p = window_probabilities(model, data)
-    weight = _LETTERISH[data].reshape(-1, WINDOW).sum(1) + 1e-3
+    weight = _LETTERISH[data[:, :WINDOW]].sum(1) + 1e-3
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     mean = np.add.reduceat(p * weight[:, None], first, axis=0) / np.add.reduceat(weight, first)[:, None]
     best = mean.argmax(1)
@@ -118,7 +121,7 @@ def train(windows: list[bytes], langs: list[str], epochs: int = 6, seed: int = 1
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             b = x[own]
-            u = np.stack([_unrolled(np.ascontiguousarray(m.embed[r]), WINDOW) for r in b])
+            u = _unrolled(m.embed[b]).reshape(len(b), WINDOW, -1)
             conv = u @ m.filters
             where = conv.argmax(1)
             pooled = np.take_along_axis(conv, where[:, None], 1)[:, 0] + m.bias
