@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, sharding, simhash
+from embedmesh.llm import langid, sharding, simhash, topk
 from embedmesh.llm.common import table
 
 
@@ -27,12 +27,19 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
     "op5_simhash": op5_simhash,
     "op7_langid": op7_langid,
     "op9_sharding": op9_sharding,
 }
 
 SQL: dict[str, str] = {
+    "op2_topk": topk.SQL,
     "op9_sharding": sharding.SQL,
 }
