@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, sharding, simhash, topk
+from embedmesh.llm import langid, sharding, simhash, tokenids, topk
 from embedmesh.llm.common import table
+from embedmesh.plans.storage import shared_dir
+
+
+def op1_tokenids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    files = tokenids.write(table(spark, sf_dir, "documents"), folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenids.read(spark, folder, files)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +42,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokenids": op1_tokenids,
     "op2_topk": op2_topk,
     "op5_simhash": op5_simhash,
     "op7_langid": op7_langid,
