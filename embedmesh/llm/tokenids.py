@@ -47,8 +47,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = 20
         width = int(own.kind[-1])
         for frame in frames:
             out = []
-            for text in frame["text"]:
-                raw = own.ids(text) + np.array([end_id], own.kind).tobytes()
+            for ids in own.ids(frame["text"].tolist()):
+                raw = np.append(ids, own.number(end_id)).tobytes()
                 at = zlib.crc32(raw) % max(1, (len(raw) - max_bytes) // width) * width
                 out.append(raw[at : at + max_bytes])
             yield pd.DataFrame({"sample": out})
@@ -87,11 +87,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, files:
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, press = encoder(tokenizer), _compressor(raw)
-        end = np.array([end_id], own.kind).tobytes()
-        width = int(own.kind[-1])
+        end = own.number(end_id)
         for frame in frames:
-            ids = [own.ids(t) + end for t in frame["text"]]
-            yield pd.DataFrame({"file": frame["file"], "doc_id": frame["doc_id"], "n": [len(x) // width for x in ids], "frame": [press.compress(x) for x in ids]})
+            ids = [np.append(x, end) for x in own.ids(frame["text"].tolist())]
+            yield pd.DataFrame({"file": frame["file"], "doc_id": frame["doc_id"], "n": list(map(len, ids)), "frame": [press.compress(x.tobytes()) for x in ids]})
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(tokenizer)
