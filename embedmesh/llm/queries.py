@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, sharding, simhash, tokenids, topk
+from embedmesh.llm import langid, sharding, simhash, sitetree, tokenids, topk
 from embedmesh.llm.common import table
 from embedmesh.plans.storage import shared_dir
 
@@ -20,6 +20,10 @@ def op1_tokenids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return tokenids.read(spark, folder, files)
 
 
+def op8_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -46,10 +50,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op5_simhash": op5_simhash,
     "op7_langid": op7_langid,
+    "op8_sitetree": op8_sitetree,
     "op9_sharding": op9_sharding,
 }
 
 SQL: dict[str, str] = {
     "op2_topk": topk.SQL,
+    "op8_sitetree": sitetree.SQL,
     "op9_sharding": sharding.SQL,
 }
