@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, sharding, simhash, sitetree, tokenids, topk
+from embedmesh.llm import langid, mergedrop, sharding, simhash, sitetree, tokenids, topk
 from embedmesh.llm.common import table
 from embedmesh.plans.storage import shared_dir
 
@@ -28,6 +28,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op3_mergedrop(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = mergedrop.encode(docs, model or public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1, with_ids=False)
+    return found.select("doc_id", "n_pieces", "ids_crc32", "lossless")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), width=4, radius=4, seed=42)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -48,6 +54,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenids": op1_tokenids,
     "op2_topk": op2_topk,
+    "op3_mergedrop": op3_mergedrop,
     "op5_simhash": op5_simhash,
     "op7_langid": op7_langid,
     "op8_sitetree": op8_sitetree,
