@@ -40,6 +40,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
+        self.seen = False
         self.scores = np.full((queries, k), np.iinfo(np.int64).min, np.int64)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max, np.int64)
 
@@ -71,29 +72,29 @@ def search_block(best: Best, at: int, queries: np.ndarray, query_ids: np.ndarray
     q, c = queries.astype(kind), columns.astype(kind)
     # what dimensions from j on can add at most: a bound needs no exactness, just a margin upward
     q_mass, c_mass = ((np.sqrt(np.cumsum((x.astype(float) ** 2)[::-1], 0)[::-1])) for x in (queries.T, columns))
-    scores = (q[:, :step] @ c[:step]).reshape(-1)
-    qi = np.repeat(np.arange(len(queries)), n)
-    ci = np.tile(np.arange(n), len(queries))
-    alive = query_ids[qi] != ids[ci]
     bound = best.bound()[rows].astype(float)
-    for j in range(step, dims + step, step):
-        if j < dims:
-            could = scores.astype(float) + (q_mass[j][qi] * c_mass[j][ci]) * (1 + 1e-9) + 1
-            alive &= could >= bound[qi]
-        if not alive.all():
-            qi, ci, scores = qi[alive], ci[alive], scores[alive]
-            alive = np.ones(len(qi), bool)
-        if j >= dims or not len(qi):
+    both = q[:, :step] @ c[:step]
+    alive = query_ids[:, None] != ids
+    if step < dims:
+        alive &= both + (q_mass[step] * (1 + 1e-9))[:, None] * c_mass[step] + 1 >= bound[:, None]
+    else:
+        alive &= both >= bound[:, None]
+    # from here on only surviving pairs are held
+    place = np.flatnonzero(alive)
+    qi, ci, scores = place // n, place % n, both.reshape(-1)[place]
+    for j in range(step, dims, step):
+        if not len(qi):
             break
-        if len(qi) * 4 > len(queries) * n:  # most survive: the whole product is cheaper than gathering pairs
-            scores = scores + (q[:, j : j + step] @ c[j : j + step])[qi, ci]
+        if len(qi) * 8 > len(queries) * n:  # most survive: the whole product is cheaper than gathering pairs
+            scores = scores + (q[:, j : j + step] @ c[j : j + step]).reshape(-1)[qi * n + ci]
         else:
             for d in range(j, min(dims, j + step)):
                 scores = scores + q[qi, d] * c[d][ci]
+        could = scores if j + step >= dims else scores + q_mass[j + step][qi] * c_mass[j + step][ci] * (1 + 1e-9) + 1
+        alive = could >= bound[qi]
+        qi, ci, scores = qi[alive], ci[alive], scores[alive]
     if len(qi):
-        final = scores.astype(np.int64)
-        good = final >= best.bound()[rows][qi]
-        best.add(rows[qi[good]], ids[ci[good]], final[good])
+        best.add(rows[qi], ids[ci], scores.astype(np.int64))
 
 
 def _too_wide(queries: np.ndarray, columns: np.ndarray) -> bool:
@@ -105,9 +106,10 @@ def _search(shared, k: int, block: int, query_block: int, step: int):
         query_ids, queries, order = shared.value
         best = Best(len(query_ids), k)
         for ids, vectors in _blocks(batches, block, queries.shape[1]):
-            columns = np.ascontiguousarray(vectors[:, order].T)
-            for at in range(0, len(query_ids), query_block):
-                search_block(best, at, queries[at : at + query_block], query_ids[at : at + query_block], columns, ids, step)
+            for part in _growing(len(ids), best):
+                columns = np.ascontiguousarray(vectors[part][:, order].T)
+                for at in range(0, len(query_ids), query_block):
+                    search_block(best, at, queries[at : at + query_block], query_ids[at : at + query_block], columns, ids[part], step)
         found = best.ids != np.iinfo(np.int64).max
         found |= best.scores != np.iinfo(np.int64).min
         where, place = np.nonzero(found)
@@ -118,6 +120,15 @@ def _search(shared, k: int, block: int, query_block: int, step: int):
     return rows
 
 
+def _growing(n: int, best: Best) -> Iterator[slice]:
+    """The first block of candidates in growing parts, so that there is a bound to beat before most are looked at."""
+    at, size = 0, n if best.seen else 4 * best.k
+    while at < n:
+        yield slice(at, min(n, at + size))
+        at, size = at + size, size * 4
+    best.seen = True
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block: int, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
@@ -134,7 +145,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int, dims: int) -> Iterato
         yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block: int = 4096, query_block: int = 64, step: int = 16, round_queries: int = 16384) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block: int = 2048, query_block: int = 64, step: int = 32, round_queries: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products among all vectors but its own id.
 
     vectors, queries: (vec_id long, embedding array of numbers). Vectors that are null or hold null or non-finite
