@@ -12,23 +12,26 @@ otherwise decode to a blank.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-_UNIT = re.compile(f" *[^ {BLANK}]+| +|{BLANK}")
 _MASK = (1 << 64) - 1
 #: Units in each of two generations of the memory, and the longest that is remembered.
 _KEEP = 150_000
 _LONG = 48
+#: Characters of a variant's texts that are worked on at a time.
+_CHUNK = 1 << 20
+#: The rank of what can't merge.
+NONE = np.iinfo(np.int32).max
 
 
 class Model:
@@ -96,43 +99,243 @@ class Model:
         return out
 
 
+class Pairs:
+    """(left symbol, right symbol) -> rank and merged symbol, looked up for arrays at once (open addressing). Symbols are
+    piece ids, and numbers after them for characters that only occur inside pieces."""
+
+    def __init__(self, model: Model):
+        n = len(model.bytes_of)
+        known = dict(model.piece_id)
+        for text in list(known):
+            for ch in text:
+                known.setdefault(ch, n + len(known))
+        self.symbol = known
+        self.span = max(known.values(), default=0) + 1
+        keys, ranks, merged = [], [], []
+        for text, r in model.rank.items():
+            for k in range(1, len(text)):
+                if text[:k] in known and text[k:] in known:
+                    keys.append(known[text[:k]] * self.span + known[text[k:]])
+                    ranks.append(r)
+                    merged.append(known[text])
+        self.bits = max(4, len(keys).bit_length() + 3)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, NONE, np.int32)
+        self.merged = np.zeros(1 << self.bits, np.int32)
+        self.probes = 1
+        for key, r, m, h in zip(keys, ranks, merged, self._hash(np.array(keys, np.int64)).tolist(), strict=True):
+            p = 0
+            while self.keys[(h + p) & ((1 << self.bits) - 1)] >= 0:
+                p += 1
+            at = (h + p) & ((1 << self.bits) - 1)
+            self.keys[at], self.ranks[at], self.merged[at] = key, r, m
+            self.probes = max(self.probes, p + 1)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place in ranks and merged; a place whose rank is NONE where there is no such pair."""
+        keys = left.astype(np.int64) * self.span + right
+        at = self._hash(keys)
+        miss = self.keys[at] != keys
+        for _ in range(self.probes - 1):
+            todo = np.flatnonzero(miss & (self.keys[at] >= 0))
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            miss[todo] = self.keys[at[todo]] != keys[todo]
+        at[miss] = self.empty
+        return at
+
+    @property
+    def empty(self) -> int:
+        if not hasattr(self, "_empty"):
+            self._empty = int(np.flatnonzero(self.keys < 0)[0])
+        return self._empty
+
+
+def _skipped(keys: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, limit: int) -> np.ndarray:
+    """Model.unit's test, for arrays."""
+    a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    h = keys ^ (i.astype(np.uint64) * a + j.astype(np.uint64) * b + k.astype(np.uint64) * c)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)) < np.uint64(limit)
+
+
+def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Many units of one length at once, each with its own agenda: a row of ranks whose least (then leftmost) candidate is
+    merged. A candidate that the hash skips never gets a rank. Returns (symbols, number of symbols) of each unit."""
+    m, n = symbols.shape
+    out, count = np.zeros((m, n), np.int32), np.full(m, n)
+    sym = symbols.astype(np.int32)
+    # borders[:, x] is where symbol x begins; one more column for the end, then padding with the end
+    borders = np.tile(np.arange(n + 2, dtype=np.int16).clip(max=n), (m, 1))
+    where = np.arange(m)
+
+    def ranked(left, right, key, i, j, k):
+        at = pairs.find(left, right)
+        rank = pairs.ranks[at]
+        if limit:
+            able = np.flatnonzero(rank != NONE)
+            rank[able[_skipped(key[able], i[able], j[able], k[able], limit)]] = NONE
+        return rank
+
+    rank = np.full((m, n), NONE, np.int32)
+    if n > 1:
+        grid = np.arange(n - 1)
+        rank[:, :-1] = ranked(
+            sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(keys, n - 1), np.tile(grid, m), np.tile(grid + 1, m), np.tile(grid + 2, m)
+        ).reshape(m, n - 1)
+    size = np.full(m, n)
+    while len(where):
+        best = rank.argmin(1)
+        rows = np.arange(len(where))
+        live = rank[rows, best] != NONE
+        if not live.all():
+            over = ~live
+            out[where[over], : sym.shape[1]] = sym[over]
+            count[where[over]] = size[over]
+            sym, borders, rank, keys, where, size, best = (x[live] for x in (sym, borders, rank, keys, where, size, best))
+            if not len(where):
+                break
+            rows = np.arange(len(where))
+        width = sym.shape[1]
+        new = pairs.merged[pairs.find(sym[rows, best], sym[rows, best + 1])]
+        shift = np.arange(width - 1)[None] + (np.arange(width - 1)[None] > best[:, None])
+        sym = np.take_along_axis(sym, shift, 1)
+        sym[rows, best] = new
+        rank = np.take_along_axis(rank, shift, 1)
+        shift = np.arange(borders.shape[1] - 1)[None] + (np.arange(borders.shape[1] - 1)[None] > best[:, None])
+        borders = np.take_along_axis(borders, shift, 1)
+        size = size - 1
+        rank[rows, best] = NONE
+        for at in (best, best - 1):
+            ok = np.flatnonzero((at >= 0) & (at + 1 < size))
+            x = at[ok]
+            rank[ok, x] = ranked(sym[ok, x], sym[ok, x + 1], keys[ok], borders[ok, x], borders[ok, x + 1], borders[ok, x + 2])
+    return out, count
+
+
 class Variant(dict):
     """Unit -> ids as little-endian unsigned 16-bit numbers, for one variant."""
 
-    def __init__(self, model: Model, seed: int, number: int, rate: float):
+    def __init__(self, model: Model, pairs: Pairs, seed: int, number: int, rate: float):
         super().__init__()
-        self.model, self.older = model, {}
+        self.model, self.pairs, self.older = model, pairs, {}
         self.salt = xxhash.xxh64_intdigest(f"{seed}:{number}")
         self.limit = min(1 << 32, round(rate * (1 << 32)))
         self.kind = "<u2" if len(model.bytes_of) <= 1 << 16 else "<u4"
 
-    def __missing__(self, unit: str) -> bytes:
+    def key(self, unit: str) -> int:
+        return xxhash.xxh64_intdigest(unit, self.salt) if self.limit else 0
+
+    def _alone(self, unit: str) -> bytes:
+        if unit == BLANK:
+            return np.array([self.model.byte_ids[b] for b in BLANK.encode()], self.kind).tobytes()
+        return np.array(self.model.unit(unit, self.key(unit), self.limit), self.kind).tobytes()
+
+    def all(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
         if len(self) >= _KEEP:
             self.older = dict(self)
             self.clear()
-        if (found := self.older.get(unit)) is None:
-            if unit == BLANK:
-                ids = [self.model.byte_ids[b] for b in BLANK.encode()]
+        found = [self.get(u) for u in units]
+        lengths: dict[int, list[int]] = {}
+        for at, x in enumerate(found):
+            if x is not None:
+                continue
+            unit = units[at]
+            if (x := self.older.get(unit)) is not None:
+                found[at] = self[unit] = x
+            elif len(unit) > _LONG:
+                found[at] = self._alone(unit)
             else:
-                ids = self.model.unit(unit, xxhash.xxh64_intdigest(unit, self.salt) if self.limit else 0, self.limit)
-            found = np.array(ids, self.kind).tobytes()
-        if len(unit) <= _LONG:
-            self[unit] = found
+                lengths.setdefault(len(unit), []).append(at)
+        symbol = self.pairs.symbol
+        for n, places in lengths.items():
+            for first in range(0, len(places), 8192):
+                own = places[first : first + 8192]
+                flat = [symbol.get(ch, -1) for at in own for ch in units[at]]
+                symbols = np.array(flat, np.int64).reshape(-1, n)
+                odd = (symbols < 0).any(1) | (symbols >= len(self.model.bytes_of)).any(1)
+                keys = np.array([self.key(units[at]) for at in own], np.uint64)
+                got, count = merge_many(self.pairs, symbols[~odd], keys[~odd], self.limit)
+                raw = got[np.arange(n)[None] < count[:, None]].astype(self.kind).tobytes()
+                ends = (np.cumsum(count) * int(self.kind[-1])).tolist()
+                start = 0
+                for at, end in zip((at for at, x in zip(own, odd.tolist(), strict=True) if not x), ends, strict=True):
+                    found[at] = self[units[at]] = raw[start:end]
+                    start = end
+                for k in np.flatnonzero(odd).tolist():
+                    found[own[k]] = self[units[own[k]]] = self._alone(units[own[k]])
         return found
 
 
+def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Units of all texts, each text led by a blank that isn't its own and followed by a break (U+0000 alone); and the
+    places of the breaks."""
+    led = [" " + t for t in texts]
+    raw = "\0".join([*led, ""]).encode("utf-8")
+    data = np.frombuffer(raw, np.uint8)
+    at_byte = np.flatnonzero((data & 0xC0) != 0x80)
+    code = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+    breaks = np.cumsum(np.fromiter(map(len, led), np.int64, len(led)) + 1) - 1
+    blank, own = code == 32, code == ord(BLANK)
+    start = np.empty(len(code), bool)
+    start[0] = True
+    start[1:] = (blank[1:] & ~blank[:-1]) | own[1:] | own[:-1]
+    start[breaks] = True
+    start[breaks[:-1] + 1] = True
+    where = np.flatnonzero(start)
+    offsets = np.append(at_byte[where], len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(raw)), np.searchsorted(where, breaks)
+
+
 class Codec:
     def __init__(self, path: str, seed: int, rate: float, variants: int):
         self.model = Model(path)
-        self.variants = [Variant(self.model, seed, v, rate) for v in range(variants)]
+        pairs = Pairs(self.model)
+        self.variants = [Variant(self.model, pairs, seed, v, rate) for v in range(variants)]
         self.kind = self.variants[0].kind
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """The ids of one whole text; the first piece leads with a blank that isn't the text's, as such models want."""
-        if not text:
-            return np.empty(0, self.kind)
-        known = self.variants[xxhash.xxh64_intdigest(str(key)) % len(self.variants)]
-        return np.frombuffer(b"".join(map(known.__getitem__, _UNIT.findall(" " + text))), self.kind)
+        return self.encode_many([text], [key])[0]
+
+    def encode_many(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
+        """The ids of each whole text; the first piece leads with a blank that isn't the text's, as such models want."""
+        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
+        held: list[list[int]] = [[] for _ in self.variants]
+        sizes = [0] * len(held)
+        for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
+            if not text:
+                continue
+            v = xxhash.xxh64_intdigest(str(key)) % len(held)
+            held[v].append(i)
+            sizes[v] += len(text)
+            if sizes[v] >= _CHUNK:
+                self._encode(v, held[v], texts, out)
+                held[v], sizes[v] = [], 0
+        for v, own in enumerate(held):
+            self._encode(v, own, texts, out)
+        return out
+
+    def _encode(self, v: int, own: list[int], texts: list, out: list[np.ndarray]) -> None:
+        if not own:
+            return
+        units, breaks = cut([texts[i] for i in own])
+        coded = units.dictionary_encode()
+        each = self.variants[v].all(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // int(self.kind[-1])
+        flat = np.frombuffer(b"".join(each), self.kind)
+        first = np.cumsum(sizes) - sizes
+        count = sizes[codes]
+        count[breaks] = 0
+        ends = np.cumsum(count)
+        ids = flat[np.repeat(first[codes] - (ends - count), count) + np.arange(ends[-1])]
+        for i, found in zip(own, np.split(ids, ends[breaks][:-1]), strict=True):
+            out[i] = found
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.model.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8")
@@ -158,9 +361,8 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variant
     def work(text: pd.Series, own: pd.Series) -> pd.DataFrame:
         c = codec(path, seed, rate, variants)
         rows = []
-        for t, k in zip(text, own, strict=True):
-            t = t if isinstance(t, str) else ""
-            ids = c.encode(t, int(k))
+        texts = [t if isinstance(t, str) else "" for t in text]
+        for t, ids in zip(texts, c.encode_many(texts, own.tolist()), strict=True):
             rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), c.decode(ids) == t, *([ids.astype(np.int32)] * with_ids)))
         return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "lossless", *["piece_ids"] * with_ids])
 

@@ -59,6 +59,16 @@ def test_agenda_against_brute_force():
         assert model.unit(unit, key, limit) == slow_unit(model, unit, key, limit)
 
 
+def test_many_at_once_are_each_alone():
+    model, rng = mergedrop.Model(PATH), random.Random(4)
+    pairs = mergedrop.Pairs(model)
+    for rate in (0.0, 0.2, 0.9):
+        own = mergedrop.Variant(model, pairs, 5, 1, rate)
+        units = list({" " * rng.randrange(3) + "".join(rng.choice("thenigoré中q") for _ in range(rng.randrange(1, 20))) for _ in range(3000)})
+        for unit, ids in zip(units, own.all(units), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == model.unit(unit, own.key(unit), own.limit), unit
+
+
 def test_segmentations_vary_and_repeat():
     c, again = (mergedrop.Codec(PATH, 1, 0.2, 4) for _ in range(2))
     text = "international considerations " * 5
