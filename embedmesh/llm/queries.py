@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, mergedrop, sharding, simhash, sitetree, tokenids, topk
+from embedmesh.llm import langid, mergedrop, sharding, simhash, sitetree, templates, tokenids, topk
 from embedmesh.llm.common import table
 from embedmesh.plans.storage import shared_dir
 
@@ -34,6 +34,10 @@ def op3_mergedrop(spark: SparkSession, sf_dir: str, model: str | None = None) ->
     return found.select("doc_id", "n_pieces", "ids_crc32", "lossless")
 
 
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), width=4, radius=4, seed=42)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenids": op1_tokenids,
     "op2_topk": op2_topk,
     "op3_mergedrop": op3_mergedrop,
+    "op4_templates": op4_templates,
     "op5_simhash": op5_simhash,
     "op7_langid": op7_langid,
     "op8_sitetree": op8_sitetree,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_topk": topk.SQL,
+    "op4_templates": templates.SQL,
     "op8_sitetree": sitetree.SQL,
     "op9_sharding": sharding.SQL,
 }
