@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedmesh.llm import langid, mergedrop, sharding, simhash, sitetree, templates, tokenids, topk
+from embedmesh.llm import attribution, langid, mergedrop, roles, sharding, simhash, sitetree, templates, tokenids, topk
 from embedmesh.llm.common import table
 from embedmesh.plans.storage import shared_dir
 
@@ -43,6 +43,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_attribution(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return attribution.count_sections(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, rule="first")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -55,15 +60,21 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
+def op10_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenids": op1_tokenids,
     "op2_topk": op2_topk,
     "op3_mergedrop": op3_mergedrop,
     "op4_templates": op4_templates,
     "op5_simhash": op5_simhash,
+    "op6_attribution": op6_attribution,
     "op7_langid": op7_langid,
     "op8_sitetree": op8_sitetree,
     "op9_sharding": op9_sharding,
+    "op10_roles": op10_roles,
 }
 
 SQL: dict[str, str] = {
