@@ -1,11 +1,302 @@
-"""Queries over the star-schema tables, by name, with DuckDB SQL for each that SQL can express."""
+"""Queries over the star-schema tables, by name, with DuckDB SQL for each that SQL can express. Thresholds are lowered to
+what these tables hold; the operators' defaults are those of the original analyses."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from embedmesh.functions import stats
+from embedmesh.operators import cooccurrence as co
+from embedmesh.operators import degrees as dg
+from embedmesh.operators import iterate as it
+from embedmesh.operators import labels as lb
+from embedmesh.operators import rankings as rk
+from embedmesh.plans import fixtures as fx
+from embedmesh.plans.fixtures import with_views
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def named(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return named
+
+
+def _r(name: str, digits: int = 8) -> Column:
+    return F.round(F.col(name), digits).alias(name)
+
+
+# degrees
+
+
+@query(with_views("tp_edges domain_index", """SELECT name, degree, round(degree / sources, 8) AS share
+  FROM (SELECT target, count(*) AS degree FROM tp_edges GROUP BY 1) JOIN domain_index ON id = target, (SELECT count(DISTINCT src) AS sources FROM tp_edges)
+  WHERE degree > 580 ORDER BY degree DESC, name LIMIT 100"""))
+def top_right_vertices(spark, d):
+    return dg.top_right_vertices(fx.tp_edges(spark, d), fx.domain_index(spark, d), k=100, min_degree=580).select("name", "degree", _r("share"))
+
+
+@query(with_views("tp_edges domain_index", """SELECT name, degree, round(degree / sources, 8) AS share
+  FROM (SELECT target, count(*) AS degree FROM own GROUP BY 1) JOIN domain_index ON id = target, (SELECT count(DISTINCT src) AS sources FROM own)
+  WHERE degree > 70 ORDER BY degree DESC, name LIMIT 20""", own="SELECT * FROM tp_edges SEMI JOIN (SELECT id AS src FROM domain_index WHERE name LIKE '%.de') USING (src)"))
+def top_right_vertices_de(spark, d):
+    return dg.top_right_vertices(fx.tp_edges(spark, d), fx.domain_index(spark, d), k=20, min_degree=70, tld="de").select("name", "degree", _r("share"))
+
+
+@query(with_views("tp_edges domain_index", """SELECT name, degree FROM (SELECT src, count(*) AS degree FROM tp_edges GROUP BY 1) JOIN domain_index ON id = src
+  WHERE degree > 5 ORDER BY degree DESC, name LIMIT 10000"""))
+def top_left_vertices(spark, d):
+    return dg.top_left_vertices(fx.tp_edges(spark, d), fx.domain_index(spark, d), min_degree=5)
+
+
+@query(with_views("tp_edges domain_index", """SELECT name, degree, round(degree / sources, 8) AS share
+  FROM (SELECT target, count(*) AS degree FROM tp_edges GROUP BY 1) JOIN domain_index ON id = target, (SELECT count(DISTINCT src) AS sources FROM tp_edges)
+  WHERE degree > sources * 0.04"""))
+def right_vertices_coverage(spark, d):
+    return dg.right_vertices_coverage(fx.tp_edges(spark, d), fx.domain_index(spark, d), pct=4).select("name", "degree", _r("share"))
+
+
+def _distribution_sql(column: str) -> str:
+    return with_views("tp_edges", f"SELECT degree, count(*) AS vertices FROM (SELECT count(*) AS degree FROM tp_edges GROUP BY {column}) GROUP BY 1")
+
+
+@query(_distribution_sql("src"))
+def left_degree_distribution(spark, d):
+    return dg.degree_distribution(fx.tp_edges(spark, d), "left")
+
+
+@query(_distribution_sql("target"))
+def right_degree_distribution(spark, d):
+    return dg.degree_distribution(fx.tp_edges(spark, d), "right")
+
+
+def _assortativity_sql(own: str, far: str) -> str:
+    return with_views(
+        "tp_edges", f"SELECT a.n AS degree, round(avg(b.n), 8) AS mean_degree FROM tp_edges JOIN a USING ({own}) JOIN b USING ({far}) GROUP BY 1",
+        a=f"SELECT {own}, count(*) AS n FROM tp_edges GROUP BY 1", b=f"SELECT {far}, count(*) AS n FROM tp_edges GROUP BY 1",
+    )
+
+
+@query(_assortativity_sql("src", "target"))
+def left_assortativity(spark, d):
+    return dg.assortativity(fx.tp_edges(spark, d), "left").select("degree", _r("mean_degree"))
+
+
+@query(_assortativity_sql("target", "src"))
+def right_assortativity(spark, d):
+    return dg.assortativity(fx.tp_edges(spark, d), "right").select("degree", _r("mean_degree"))
+
+
+def _correlation_sql(column: str) -> str:
+    return with_views("tp_edges link_edges", f"""SELECT a.n AS tp_degree, b.n AS link_degree FROM (SELECT src AS v, count(*) AS n FROM tp_edges GROUP BY 1) a
+      JOIN (SELECT {column} AS v, count(*) AS n FROM link_edges GROUP BY 1) b USING (v)""")
+
+
+@query(_correlation_sql("src"))
+def degree_correlation_out(spark, d):
+    return dg.degree_correlation(fx.tp_edges(spark, d), fx.link_edges(spark, d), "out")
+
+
+@query(_correlation_sql("target"))
+def degree_correlation_in(spark, d):
+    return dg.degree_correlation(fx.tp_edges(spark, d), fx.link_edges(spark, d), "in")
+
+
+@query(with_views("tp_edges", """SELECT round(1 + count(*) / sum(ln(n / least)), 8) AS gamma, round(sqrt(count(*)) / sum(ln(n / least)), 8) AS sigma
+  FROM own, (SELECT min(n) AS least FROM own)""", own="SELECT count(*) AS n FROM tp_edges GROUP BY src"))
+def power_law_exponent(spark, d):
+    return dg.power_law_exponent(fx.tp_edges(spark, d)).select(_r("gamma"), _r("sigma"))
+
+
+# rankings
+
+
+@query(with_views("third_party_long", """SELECT third_party, count(*) AS domains, count(*) FILTER (script > 0) AS scripts, count(*) FILTER (iframe > 0) AS iframes,
+  count(*) FILTER (image > 0) AS images, count(*) FILTER (link > 0) AS links FROM third_party_long GROUP BY 1 HAVING count(*) >= 570"""))
+def third_party_stats(spark, d):
+    return rk.third_party_stats(fx.third_party_long(spark, d), 570)
+
+
+@query(with_views("third_party_long", """SELECT third_party, count(*) AS domains, count(*) FILTER (script > 0 OR iframe > 0) AS dynamic, count(*) FILTER (image > 0 OR link > 0) AS static
+  FROM third_party_long GROUP BY 1 HAVING count(*) >= 570"""))
+def embedding_type_stats(spark, d):
+    return rk.embedding_type_stats(fx.third_party_long(spark, d), 570)
+
+
+@query(with_views("domain_index", "SELECT split_part(name, '.', -1) AS tld, count(*) AS domains FROM domain_index WHERE id < 100000000 GROUP BY 1"))
+def tld_distribution(spark, d):
+    return rk.tld_distribution(fx.domain_index(spark, d).where(F.col("id") < fx.SHIFT), "name")
+
+
+@query(with_views("tp_edges domain_index", "SELECT src, target FROM tp_edges SEMI JOIN (SELECT id AS src FROM domain_index WHERE name LIKE '%.org') USING (src)"))
+def tld_subgraph(spark, d):
+    return dg.tld_subgraph(fx.tp_edges(spark, d), fx.domain_index(spark, d), "org")
+
+
+def _per_tld_sql(what: str, pairs: str, k: int) -> str:
+    grouped = "SELECT *, unnest(CASE WHEN split_part(domain, '.', -1) IN ('com','org','de','fr','ru','cn','ir') THEN ['overall', split_part(domain, '.', -1)] ELSE ['overall'] END) AS tld FROM"
+    return with_views(
+        "third_party_long labels_tp", f"""SELECT tld, CAST(place AS INTEGER) AS place, {what}, domains, round(domains / sites, 8) AS share FROM (
+          SELECT tld, {what}, count(*) AS domains, row_number() OVER (PARTITION BY tld ORDER BY count(*) DESC, {what}) AS place FROM ({grouped} pairs) GROUP BY tld, {what})
+        JOIN (SELECT tld, count(*) AS sites FROM ({grouped} (SELECT DISTINCT domain FROM third_party_long)) GROUP BY 1) USING (tld) WHERE place <= {k}""", pairs=pairs,
+    )
+
+
+@query(_per_tld_sql("third_party", "SELECT domain, third_party FROM third_party_long SEMI JOIN (SELECT third_party FROM labels_tp WHERE category IN ('Advertising','Analytics','Widget','Beacon')) USING (third_party)", 20))
+def top_third_parties_per_tld(spark, d):
+    trackers = fx.labels_tp(spark, d).where(F.col("category").isin(*lb.TRACKING)).select("third_party")
+    return rk.top_third_parties_per_tld(fx.third_party_long(spark, d), trackers).select("tld", "place", "third_party", "domains", _r("share"))
+
+
+@query(_per_tld_sql("company", "SELECT DISTINCT t.domain, company FROM third_party_long t JOIN labels_tp l USING (third_party) WHERE company IS NOT NULL AND company <> ''", 10))
+def top_companies_per_tld(spark, d):
+    return rk.top_companies_per_tld(fx.third_party_long(spark, d), fx.labels_tp(spark, d)).select("tld", "place", "company", "domains", _r("share"))
+
+
+@query(with_views("tp_edges domain_index whois_tp", """SELECT company, count(DISTINCT src) AS domains FROM tp_edges JOIN domain_index ON target = id JOIN whois_tp ON name = domain
+  WHERE company <> 'WHOISGUARD INC.' GROUP BY 1"""))
+def top_companies_whois(spark, d):
+    return rk.top_companies(fx.tp_edges(spark, d), fx.domain_index(spark, d), fx.whois_tp(spark, d))
+
+
+# labels
+
+_RATIOS = "avg(dyn) AS dynamic_mean, coalesce(stddev_samp(dyn), 'nan'::DOUBLE) AS dynamic_std, avg(sta) AS static_mean, coalesce(stddev_samp(sta), 'nan'::DOUBLE) AS static_std"
+
+
+@query(with_views("labels_tp", f"""SELECT category, third_parties, round(dynamic_mean, 8) AS dynamic_mean, round(dynamic_std, 8) AS dynamic_std, round(static_mean, 8) AS static_mean, round(static_std, 8) AS static_std FROM (
+  SELECT category, count(*) AS third_parties, {_RATIOS} FROM own WHERE category IN ('Advertising','Analytics','Beacon','Widget','ImageHoster','ContentDelivery') GROUP BY 1
+  UNION ALL SELECT 'Overall', count(*), {_RATIOS} FROM own)""", own="SELECT category, occurrences_dynamic / occurrences AS dyn, occurrences_static / occurrences AS sta FROM labels_tp"))
+def embedding_ratios(spark, d):
+    return lb.embedding_ratios(fx.labels_tp(spark, d)).select("category", "third_parties", *map(_r, ("dynamic_mean", "dynamic_std", "static_mean", "static_std")))
+
+
+@query(with_views("labels_tp", "SELECT domain, category, occurrences FROM labels_tp WHERE category IN ('Advertising','Analytics','Widget','Beacon') AND company IS NULL"))
+def trackers_without_company(spark, d):
+    return lb.trackers_without_company(fx.labels_tp(spark, d)).select("domain", "category", "occurrences")
+
+
+@query(with_views("labels_tp", """SELECT domain, category, registration_org FROM labels_tp
+  WHERE category IN ('Advertising','Analytics','Widget','Beacon') AND company IS NULL AND registration_org IS NOT NULL"""))
+def registrant_without_company(spark, d):
+    return lb.registrant_without_company(fx.labels_tp(spark, d)).select("domain", "category", "registration_org")
+
+
+# iterative
+
+_ROUNDS = 10
+
+
+def _pagerank_sql(body: str, names: str = "") -> str:
+    rounds = {"outs": "SELECT src, count(*) AS o FROM pr_edges GROUP BY 1", "nn": "SELECT count(*) AS n FROM pr_vertices", "p0": "SELECT id, 1.0::DOUBLE / n AS rank FROM pr_vertices, nn"}
+    for i in range(1, _ROUNDS + 1):
+        rounds[f"p{i}"] = f"""SELECT v.id, (coalesce(g.s, 0) + (SELECT coalesce(sum(rank), 0) FROM p{i - 1} ANTI JOIN outs ON id = src) / n) * 0.85 + 0.15 / n AS rank
+          FROM pr_vertices v CROSS JOIN nn LEFT JOIN (SELECT target, sum(rank / o) AS s FROM pr_edges JOIN p{i - 1} ON src = id JOIN outs USING (src) GROUP BY 1) g ON g.target = v.id"""
+    return with_views(f"pr_edges pr_vertices {names}", body, **rounds)
+
+
+@query(_pagerank_sql(f"SELECT id, round(rank, 10) AS rank FROM p{_ROUNDS}"))
+def pagerank_10(spark, d):
+    edges = fx.pr_edges(spark, d)
+    return it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None).select("id", _r("rank", 10))
+
+
+@query(_pagerank_sql(f"""SELECT 'supp' || (target - 1000000) || '.net' AS name, round(sum(rank), 8) AS rank_sum FROM pr_edges JOIN p{_ROUNDS} ON src = id GROUP BY 1"""))
+def third_parties_by_pagerank(spark, d):
+    edges = fx.pr_edges(spark, d)
+    index = fx.table(spark, d, "supplier").select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string"), F.lit(".net")).alias("name"), (F.col("s_suppkey") + 1_000_000).alias("id"))
+    return rk.third_parties_by_pagerank(edges, it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None), index).select("name", _r("rank_sum"))
+
+
+@query("WITH RECURSIVE " + with_views("cc_edges", """SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM (SELECT v, min(w) AS c FROM reach GROUP BY 1) GROUP BY 1) GROUP BY 1""",
+  ends="SELECT src AS a, target AS b FROM cc_edges UNION ALL SELECT target, src FROM cc_edges").removeprefix("WITH ").replace(") SELECT size", "), reach(v, w) AS (SELECT DISTINCT a, a FROM ends UNION SELECT v, b FROM reach JOIN ends ON w = a) SELECT size"))
+def component_sizes(spark, d):
+    return it.component_sizes(fx.cc_edges(spark, d))
+
+
+@query()
+def reachability_counters(spark, d):
+    return it.reachability_counters(fx.pr_edges(spark, d)).select("id", "reachable")
+
+
+# co-occurrence
+
+
+def _orders(spark: SparkSession, d: str) -> int:
+    return fx.table(spark, d, "orders").count()
+
+
+def _pairs_sql(what: str, categories: str, body: str) -> str:
+    return with_views(
+        "third_party_long labels_tp", body, n="SELECT count(*)::DOUBLE AS n FROM orders",
+        sites=f"SELECT DISTINCT t.domain, l.{what} AS x FROM third_party_long t JOIN labels_tp l USING (third_party) WHERE category IN ({categories}) AND l.{what} IS NOT NULL",
+        c="SELECT a.x AS i, b.x AS j, count(*) AS c FROM sites a JOIN sites b USING (domain) JOIN (SELECT domain FROM sites GROUP BY 1 HAVING count(*) > 1) USING (domain) GROUP BY 1, 2",
+        m="SELECT i, sum(c)::DOUBLE AS m FROM c GROUP BY 1",
+        s="SELECT c.i, c.j, c.c, a.m AS mi, b.m AS mj FROM c JOIN m a ON a.i = c.i JOIN m b ON b.i = c.j WHERE c.i <= c.j",
+    )
+
+
+_XLOGX = "CASE WHEN {0} <= 0 THEN 0 ELSE ({0}) * ln({0}) END"
+
+
+def _h(*xs: str) -> str:
+    total = " + ".join(f"({x})" for x in xs)
+    return f"({_XLOGX.format('(' + total + ')')} - " + " - ".join(f"({_XLOGX.format('(' + x + ')')})" for x in xs) + ")"
+
+
+def _root_llr_sql(a: str, b: str, c: str, d: str) -> str:
+    llr = f"2 * greatest(0, {_h(f'{a} + {b}', f'{c} + {d}')} + {_h(f'{a} + {c}', f'{b} + {d}')} - {_h(a, b, c, d)})"
+    return f"(CASE WHEN ({a})::DOUBLE / nullif(({a}) + ({b}), 0) < ({c})::DOUBLE / nullif(({c}) + ({d}), 0) THEN -1 ELSE 1 END * sqrt({llr}))"
+
+
+@query(_pairs_sql("company", "'Advertising','Beacon','Analytics'", """SELECT i, j, c AS count, round(phi, 8) AS phi,
+  round(CASE WHEN greatest(mi, mj) < 2 OR phi * phi >= 1 THEN 'nan'::DOUBLE ELSE phi * sqrt(greatest(mi, mj) - 2) / sqrt(1 - phi * phi) END, 6) AS t FROM (
+  SELECT *, CASE WHEN mi * mj * (n - mi) * (n - mj) <= 0 THEN 'nan'::DOUBLE ELSE (n * c - mi * mj) / sqrt(mi * mj * (n - mi) * (n - mj)) END AS phi FROM s, n)"""))
+def company_cooccurrence(spark, d):
+    sites = co.labelled_sites(fx.third_party_long(spark, d), fx.labels_tp(spark, d), ("Advertising", "Beacon", "Analytics"), "company")
+    return co.scored(co.pair_counts(sites, "company"), _orders(spark, d)).select("i", "j", "count", _r("phi"), _r("t", 6))
+
+
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", f"SELECT i, j, c AS count, round({_root_llr_sql('c', 'mi - c', 'mj - c', 'n - mi - mj + c')}, 5) AS root_llr FROM s, n"))
+def tracker_cooccurrence(spark, d):
+    sites = co.labelled_sites(fx.third_party_long(spark, d), fx.labels_tp(spark, d), ("Advertising", "Beacon"), "third_party")
+    return co.scored(co.pair_counts(sites, "third_party"), _orders(spark, d)).select("i", "j", "count", _r("root_llr", 5))
+
+
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", """SELECT a.i AS row, a.j AS col, round(a.c / b.c, 8) AS p FROM c a JOIN c b ON b.i = a.j AND b.j = a.j WHERE a.i <> a.j AND a.c / b.c > 0.05"""))
+def tracker_conditional_probability(spark, d):
+    sites = co.labelled_sites(fx.third_party_long(spark, d), fx.labels_tp(spark, d), ("Advertising", "Beacon"), "third_party")
+    return co.conditional_probability(co.pair_counts(sites, "third_party"), 0.05).select("row", "col", _r("p"))
+
+
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", """SELECT r.x AS row, k.x AS col, round((coalesce(a.c, 0) / y.c) / (z.c / n), 6) AS lift FROM names r CROSS JOIN names k CROSS JOIN n
+  LEFT JOIN c a ON a.i = r.x AND a.j = k.x JOIN c y ON y.i = k.x AND y.j = k.x JOIN c z ON z.i = r.x AND z.j = r.x""").replace("c AS MATERIALIZED", "names AS (SELECT DISTINCT x FROM sites), c AS MATERIALIZED"))
+def tracker_lift(spark, d):
+    labels = fx.labels_tp(spark, d).where(F.col("category").isin("Advertising", "Beacon"))
+    sites = co.labelled_sites(fx.third_party_long(spark, d), labels, ("Advertising", "Beacon"), "third_party")
+    return co.lift(co.pair_counts(sites, "third_party"), labels, _orders(spark, d)).select("row", "col", _r("lift", 6))
+
+
+# statistics
+
+
+@query(f"""WITH a AS (SELECT p_brand AS item, count(*) AS k FROM part WHERE p_size <= 20 GROUP BY 1), b AS (SELECT p_brand AS item, count(*) AS k FROM part WHERE p_size > 20 GROUP BY 1),
+  t AS (SELECT item, coalesce(a.k, 0)::DOUBLE AS ka, coalesce(b.k, 0)::DOUBLE AS kb FROM a FULL JOIN b USING (item)), s AS (SELECT sum(ka) AS ta, sum(kb) AS tb FROM t)
+  SELECT item, round(score, 5) AS score FROM (SELECT item, {_root_llr_sql('ka', 'ta - ka', 'kb', 'tb - kb')} AS score FROM t, s) WHERE score >= -0.5 ORDER BY score DESC, item LIMIT 15""")
+def compare_frequencies(spark, d):
+    part = fx.table(spark, d, "part").select(F.col("p_brand").alias("item"), "p_size")
+    return stats.compare_frequencies(part.where("p_size <= 20"), part.where("p_size > 20"), max_return=15, threshold=-0.5).select("item", _r("score", 5))
+
+
+@query("""SELECT o_custkey, round(coalesce(avg(o_totalprice), 0), 6) AS mean, round(coalesce(stddev_samp(o_totalprice), 'nan'::DOUBLE), 6) AS std FROM orders GROUP BY 1""")
+def running_mean_and_std(spark, d):
+    return fx.table(spark, d, "orders").groupBy("o_custkey").agg(stats.mean("o_totalprice").alias("mean"), stats.sample_std("o_totalprice").alias("std")).select("o_custkey", _r("mean", 6), _r("std", 6))
