@@ -43,7 +43,7 @@ def root_log_likelihood_ratio(k11, k12, k21, k22) -> Column:
 def divided(a, b) -> Column:
     """IEEE division: 0 / 0 is NaN, x / 0 infinite."""
     a, b = _d(a), _d(b)
-    at_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(NAN)
+    at_zero = F.when(F.isnan(a), NAN).when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(NAN)
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 

@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedmesh.functions import stats
+from embedmesh.functions.domains import extract_host, private_domain_column
+from embedmesh.functions.resources import resources_column
+from embedmesh.functions.whois import registrant
 from embedmesh.operators import cooccurrence as co
 from embedmesh.operators import degrees as dg
+from embedmesh.operators import encode as enc
 from embedmesh.operators import iterate as it
 from embedmesh.operators import labels as lb
+from embedmesh.operators import pages as pg
 from embedmesh.operators import rankings as rk
 from embedmesh.plans import fixtures as fx
 from embedmesh.plans.fixtures import with_views
+from embedmesh.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -300,3 +306,75 @@ def compare_frequencies(spark, d):
 @query("""SELECT o_custkey, round(coalesce(avg(o_totalprice), 0), 6) AS mean, round(coalesce(stddev_samp(o_totalprice), 'nan'::DOUBLE), 6) AS std FROM orders GROUP BY 1""")
 def running_mean_and_std(spark, d):
     return fx.table(spark, d, "orders").groupBy("o_custkey").agg(stats.mean("o_totalprice").alias("mean"), stats.sample_std("o_totalprice").alias("std")).select("o_custkey", _r("mean", 6), _r("std", 6))
+
+
+# extraction
+
+
+@query(with_views("synthetic_third_party", "SELECT domain, third_party, script, iframe, image, link FROM synthetic_third_party"))
+def third_party_table(spark, d):
+    rows, _, _ = pg.third_party_rows(pg.parse_pages(fx.synthetic_pages(spark, d)))
+    return rows
+
+
+@query(with_views("synthetic_third_party", """SELECT s.domain || chr(9) || num_pages || coalesce(chr(9) || string_agg('[' || third_party || ',' || script || ',' || iframe || ',' || image || ',' || link || ']', chr(9) ORDER BY third_party), '') AS value
+  FROM (SELECT 'cust' || o_custkey || '.com' AS domain, count(*) AS num_pages FROM orders GROUP BY 1) s LEFT JOIN synthetic_third_party t USING (domain) GROUP BY s.domain, num_pages"""))
+def third_party_lines(spark, d):
+    return tables.format_third_party_lines(pg.third_party_table(pg.parse_pages(fx.synthetic_pages(spark, d))))
+
+
+@query(with_views("synthetic_third_party", """SELECT domain, third_party, script, iframe, image, link FROM synthetic_third_party"""))
+def third_party_line_parser(spark, d):
+    lines = tables.format_third_party_lines(pg.third_party_table(pg.parse_pages(fx.synthetic_pages(spark, d))))
+    return tables.long_third_parties(tables.parse_third_party_lines(lines)).select("domain", "third_party", "script", "iframe", "image", "link")
+
+
+_LINES = """SELECT o_custkey AS line, 0 AS place, 'cust' || o_custkey || '.com' AS name FROM orders
+  UNION ALL SELECT line, row_number() OVER (PARTITION BY line ORDER BY name), name FROM (SELECT DISTINCT o_custkey AS line, 'supp' || l_suppkey || '.net' AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_KNOWN = "SELECT 'supp' || s_suppkey || '.net' AS name, s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0"
+
+
+def _encoded(spark, d):
+    """Lines are numbered by customer; half of the suppliers are in the index already."""
+    rows = fx.table(spark, d, "orders").join(fx.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    name = F.concat(F.lit("supp"), F.col("l_suppkey").cast("string"), F.lit(".net"))
+    lines = rows.groupBy(F.col("o_custkey").alias("line")).agg(F.sort_array(F.collect_set(name)).alias("names"))
+    lines = lines.select("line", F.concat(F.lit("cust"), F.col("line").cast("string"), F.lit(".com")).alias("domain"), F.transform("names", lambda n: F.struct(n.alias("domain"))).alias("trackers"))
+    index = fx.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string"), F.lit(".net")).alias("name"), F.col("s_suppkey").cast("long").alias("id"))
+    return enc.encode_graph(lines, index)
+
+
+_NEW = f"""WITH lines AS ({_LINES}), known AS ({_KNOWN}), fresh AS (SELECT name, min((line, place)) AS first FROM lines ANTI JOIN known USING (name) GROUP BY 1),
+  added AS (SELECT name, 42889799 + row_number() OVER (ORDER BY first) AS id FROM fresh)"""
+
+
+@query(f"{_NEW} SELECT name, id FROM added")
+def encode_graph_additions(spark, d):
+    return _encoded(spark, d)[1]
+
+
+@query(f"""{_NEW}, every AS (SELECT name, id FROM known UNION ALL SELECT name, id FROM added)
+  SELECT a.id AS src, b.id AS target FROM (SELECT DISTINCT 'cust' || o_custkey || '.com' AS s, 'supp' || l_suppkey || '.net' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  JOIN every a ON a.name = s JOIN every b ON b.name = t""")
+def encode_graph_edges(spark, d):
+    return _encoded(spark, d)[0]
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([a-z0-9-]+\.example\.(?:com|net|org)|example\.(?:com|net|org))(?:/|$)', 1) AS host, regexp_extract(url, '(example\.(?:com|net|org))(?:/|$)', 1) AS domain FROM pages")
+def parsed_pages_hosts(spark, d):
+    host = F.pandas_udf(lambda urls: urls.map(lambda u: ".".join((extract_host(u) or "").split(".")[-3:])), "string")
+    return fx.table(spark, d, "pages").select("page_id", host("url").alias("host"), private_domain_column(F.col("url")).alias("domain"))
+
+
+@query("SELECT page_id, CAST(0 AS BIGINT) AS resources FROM pages")
+def page_resources(spark, d):
+    """The pages embed nothing from elsewhere: every script's only string is an end tag."""
+    return fx.table(spark, d, "pages").select("page_id", F.size(resources_column(F.col("url"), F.col("html"))).cast("long").alias("resources"))
+
+
+@query("SELECT c_custkey, c_name AS org, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '#' END AS country FROM customer")
+def whois_registrants(spark, d):
+    lines = [F.lit("% notice without a value"), F.lit("Registrant Organization: first"), F.concat(F.lit("Registrant Organization:  "), F.col("c_name")),
+             F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("Registrant Country: "), F.col("c_nationkey").cast("string")))]
+    own = fx.table(spark, d, "customer").select("c_custkey", registrant(F.concat_ws("\n", *lines)).alias("w"))
+    return own.select("c_custkey", "w.org", "w.country")
