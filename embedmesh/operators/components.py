@@ -41,8 +41,9 @@ def connected_components(edges: DataFrame, src: str = "src", target: str = "targ
 
     Edges with a null end are left out; a self-loop keeps its vertex. Repeated edges don't matter.
     """
-    given = edges.select(F.col(src).cast("long").alias("u"), F.col(target).cast("long").alias("v")).where(
-        "u is not null and v is not null"
+    # written once: what makes the edges may be long, and both the loops and the rounds start from them
+    given = saved(
+        edges.select(F.col(src).cast("long").alias("u"), F.col(target).cast("long").alias("v")).where("u is not null and v is not null")
     )
     loops = given.where("u = v").select(F.col("u").alias("vertex")).distinct()
     work = saved(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
