@@ -116,14 +116,18 @@ def sampled_keys(number: int, width: int, total: int, seed: int = 7) -> Keys:
     return Keys(tuple(tuple(sorted(rng.choice(total, width, replace=False).tolist())) for _ in range(number)))
 
 
-def _key_rows(keys: Keys):
+def _key_rows(keys: Keys, carried: int):
+    """Rows (key, rep, fp): keys from all bits; fp is cut to the ``carried`` words that buckets compare."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             rep, prints = batch.column("rep"), batch.column("fp")
-            bits = np.unpackbits(_matrix(prints).astype(">u8").view(np.uint8).reshape(n, -1), axis=1)
+            whole = _matrix(prints).astype(">u8")
+            bits = np.unpackbits(whole.view(np.uint8).reshape(n, -1), axis=1)
+            prints = pa.array([x.tobytes() for x in whole[:, :carried]], pa.binary())
             for k, chosen in enumerate(keys.bits):
                 value = np.zeros(n, np.int64)
                 for j in chosen:
@@ -241,12 +245,14 @@ def _links_of_buckets(radius: int, ring: tuple[int, ...] | None, small: int = 48
     return links
 
 
-def links(prints: DataFrame, radius: int, keys: Keys, block: int = 20_000) -> DataFrame:
-    """(src, target) reps such that linked fingerprints are connected. prints: (rep long, fp binary), distinct fp."""
+def links(prints: DataFrame, radius: int, keys: Keys, block: int = 20_000, carried: int = 1, broadcast_keys: int = 500_000) -> DataFrame:
+    """(src, target) reps such that linked fingerprints are connected. prints: (rep long, fp binary), distinct fp; the first
+    ``carried`` words decide a link. At most one key in ``block`` rows is crowded; these are counted before a broadcast."""
     spark = prints.sparkSession
-    keyed = prints.mapInArrow(_key_rows(keys), "key long, rep long, fp binary")
+    keyed = prints.mapInArrow(_key_rows(keys, carried), "key long, rep long, fp binary")
     n = parts(spark)
-    crowded = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    crowded = saved(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    crowded = F.broadcast(crowded) if crowded.count() <= broadcast_keys else crowded
     # a bucket of b blocks becomes the cells (i, j), i <= j < b; a fingerprint of block x goes to all cells with an x
     celled = (
         keyed.join(crowded, "key", "left")
@@ -289,7 +295,7 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seed: i
     own = saved(fingerprint_table(docs, width, seed, words))
     prints = saved(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = prints.where("rep is not null")
-    found = connected_components(links(known, radius, keys, block))
+    found = connected_components(links(known, radius, keys, block, words))
     classes = prints.join(found, prints.rep == found.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -311,13 +317,13 @@ def _near(radius: int):
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, key_words: int = 4, tables: int = 48, key_bits: int = 16, block: int = 20_000
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, carried: int = 2, tables: int = 48, key_bits: int = 16, block: int = 20_000
 ) -> DataFrame:
     """(doc_id, component_id) for a similarity that is too low for 64 bits: 64 * words bits estimate the Jaccard similarity
     of ``width``-word shingles to about 0.02.
 
-    Candidates share ``key_bits`` sampled bits of the first ``key_words`` words in one of ``tables`` tables and are near
-    there with a wide margin; every edge of the buckets' forests is then decided on all bits (half a standard deviation
+    Candidates share ``key_bits`` sampled bits in one of ``tables`` tables and are near in the first ``carried`` words with a
+    wide margin; every edge of the buckets' forests is then decided on all bits (half a standard deviation
     over the expectation at ``similarity``). A pair at 0.8 meets in some table in 97 of 100 cases, one at 0.9 practically
     always. Nulls, ties and empty tables as in simhash_components.
     """
@@ -326,8 +332,7 @@ def near_duplicates(
     own = saved(fingerprint_table(docs, width, seed, words))
     prints = saved(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = prints.where("rep is not null")
-    some = known.select("rep", F.expr(f"substring(fp, 1, {8 * key_words})").alias("fp"))
-    pairs = links(some, far(64 * key_words, 2.3), sampled_keys(tables, key_bits, 64 * key_words), block)
+    pairs = links(known.select("rep", "fp"), far(64 * carried, 2.5), sampled_keys(tables, key_bits, 64 * words), block, carried)
     # an id can stand for several fingerprints only where ids repeat; then any of them may decide
     full = known.groupBy("rep").agg(F.min("fp").alias("fp"))
     both = pairs.join(full.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src").join(full.select(F.col("rep").alias("target"), F.col("fp").alias("b")), "target")
