@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from embedmesh.plans.ranges import parts, range_bounds, range_bucket
+
+__all__ = ["crc32_sql", "parts", "range_bounds", "range_bucket", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def range_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> list[int]:
-    """At most n - 1 ascending cut values that split the rows about evenly by a whole-number key. One cheap scan of the
-    key alone; the values become literals of the plan, so a task that runs again puts every row where it was before."""
-    if n < 2:
-        return []
-    found = df.agg(F.percentile_approx(F.col(key), [i / n for i in range(1, n)], accuracy).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def range_bucket(key: Column, bounds: list[int]) -> Column:
-    """0 for keys (and nulls) at or below the first bound, up to len(bounds); ascending with the key. A balanced tree
-    of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds)).cast("int")
-
-
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _crc_table() -> list[int]:
     found = []
     for c in range(256):

@@ -5,9 +5,10 @@ ending with the assistant. A raw sequence of turns is repaired by dynamic progra
 taken as it is, relabelled, or merged into the turn before it, and empty turns are inserted, at the least total cost; ties
 go to the earlier option in that order. The repaired sequence is rendered with a template.
 
-One conversation is worked on at a time, in turn order. Conversations are grouped by a shuffle on their id, sorted, and read
-as a stream: a conversation that holds a third of all turns is never gathered. Its backward pointers (three bytes a turn)
-are what grows with it; texts are kept only until they are written into one row, which the format itself demands.
+Conversations are cut into segments of consecutive turn numbers, so that one with a third of all turns is many groups. A
+segment's dynamic program is a 4 x 4 matrix of least costs from state to state; these matrices (one for each ``segment``
+turns) are chained to find the state at every cut, and then each segment is repaired and written on its own. Conversations
+within one segment, the usual case, need none of this. The segments' texts, joined in order, are the conversation's.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embedmesh.plans.storage import saved
+
 ROLES = ("system", "user", "assistant")
 _ALIASES = {
     "human": "user", "prompter": "user", "customer": "user", "question": "user", "gpt": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "answer": "assistant",
@@ -78,10 +81,37 @@ class Repair:
     def __init__(self, costs: Costs = Costs()):
         self.moves, self.ends = _steps(costs)
 
-    def plan(self, seen: list[int]) -> tuple[int, list[tuple[tuple[int, ...], int]], tuple[int, ...]]:
+    def matrix(self, seen: list[int]) -> list[list[int]]:
+        """Least costs of a run of turns, from each state to each."""
+        out = []
+        for entry in range(4):
+            cost = [0 if s == entry else _INFINITE for s in range(4)]
+            for role in seen:
+                new = [_INFINITE] * 4
+                for a, b, c, _, _ in self.moves[role]:
+                    new[b] = min(new[b], cost[a] + c)
+                cost = new
+            out.append(cost)
+        return out
+
+    def cuts(self, matrices: list[list[list[int]]]) -> list[int]:
+        """The state before each run and after the last, of a path of least cost through all runs and the end."""
+        cost, back = [0, _INFINITE, _INFINITE, _INFINITE], []
+        for m in matrices:
+            best = [min((cost[a] + m[a][b], a) for a in range(4)) for b in range(4)]
+            back.append([a for _, a in best])
+            cost = [c for c, _ in best]
+        state = min((cost[s] + c, k, s) for k, (s, c, _) in enumerate(self.ends))[2]
+        path = [state]
+        for own in reversed(back):
+            state = own[state]
+            path.append(state)
+        return path[::-1]
+
+    def plan(self, seen: list[int], entry: int = START, leave: int | None = None) -> tuple[int, list[tuple[tuple[int, ...], int]], tuple[int, ...]]:
         """(cost, for each turn the roles inserted before it and the role it is written as, -1: merged; roles inserted at
-        the end). seen: known_role of each turn."""
-        cost = [0, _INFINITE, _INFINITE, _INFINITE]
+        the end). seen: known_role of each turn. leave: the state to end in; None: the conversation ends here."""
+        cost = [0 if s == entry else _INFINITE for s in range(4)]
         back = np.zeros((len(seen), 4), np.uint8)
         for t, role in enumerate(seen):
             new = [_INFINITE] * 4
@@ -90,7 +120,7 @@ class Repair:
                     new[b] = cost[a] + c
                     back[t, b] = k
             cost = new
-        total, _, state, tail = min((cost[s] + c, k, s, x) for k, (s, c, x) in enumerate(self.ends))
+        total, _, state, tail = min((cost[s] + c, k, s, x) for k, (s, c, x) in enumerate(self.ends)) if leave is None else (cost[leave], 0, leave, ())
         path = []
         for t in range(len(seen) - 1, -1, -1):
             a, _, _, inserted, role = self.moves[seen[t]][back[t, state]]
@@ -98,10 +128,13 @@ class Repair:
             state = a
         return total, path[::-1], tail
 
-    def apply(self, turns: list[tuple[str | None, str | None]], joint: str = "\n\n") -> tuple[int, list[tuple[str, str]], dict[str, int]]:
-        """(cost, repaired turns, how many turns were relabelled, merged and inserted)."""
+    def apply(
+        self, turns: list[tuple[str | None, str | None]], joint: str = "\n\n", entry: int = START, leave: int | None = None
+    ) -> tuple[int, list[tuple[str, str]], dict[str, int]]:
+        """(cost, repaired turns, how many turns were relabelled, merged and inserted). What is merged into the turn before
+        the first one comes as a turn with an empty role."""
         seen = [known_role(r) for r, _ in turns]
-        total, path, tail = self.plan(seen)
+        total, path, tail = self.plan(seen, entry, leave)
         done: list[tuple[str, list[str]]] = []
         counts = {"relabelled": 0, "merged": 0, "inserted": len(tail)}
         for (inserted, role), own, (_, text) in zip(path, seen, turns, strict=True):
@@ -109,6 +142,8 @@ class Repair:
             done += [(ROLES[r], []) for r in inserted]
             if role < 0:
                 counts["merged"] += 1
+                if not done:
+                    done.append(("", []))
             else:
                 counts["relabelled"] += role != own
                 done.append((ROLES[role], []))
@@ -117,52 +152,114 @@ class Repair:
         return total, [(r, joint.join(x for x in parts if x)) for r, parts in done], counts
 
 
-def render(turns: list[tuple[str, str]], template: Template = Template()) -> str:
-    """The marks of the template can't be forged by a text: a zero-width joiner parts them."""
+def render(turns: list[tuple[str, str]], template: Template = Template(), joint: str = "\n\n", first: bool = True, last: bool = True) -> str:
+    """The turns of a conversation, or of a segment of one: a turn is closed where the next one begins, or at the last end.
+    The marks of the template can't be forged by a text: a zero-width joiner parts them."""
     marks = [template.before.format(role=r).strip() for r in ROLES] + [template.after.strip()]
     out = []
-    for role, text in turns:
+    for k, (role, text) in enumerate(turns):
         for mark in marks:
             if mark and mark in text:
-                text = text.replace(mark, mark[0] + "‍" + mark[1:])
-        out.append(template.before.format(role=role) + text + template.after)
-    return "".join(out)
+                text = text.replace(mark, mark[0] + "\u200d" + mark[1:])
+        if not role:
+            out.append(joint + text if text else "")
+        else:
+            out.append(("" if first and not k else template.after) + template.before.format(role=role) + text)
+    return "".join(out) + (template.after if last and (turns or not first) else "")
+
+
+_FIELDS = "conv_id long, segment long, n_turns long, n_repaired long, relabelled long, merged long, inserted long, cost long, roles string, formatted string"
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of equal keys in sorted rows, as (key, rows of the other columns); a run may span batches."""
+    now, held = None, []
+    for frame in frames:
+        frame = frame.astype({k: "Int64" for k in keys}).astype(object)
+        for row in frame.where(frame.notna(), None).itertuples(index=False, name=None):
+            key = row[: len(keys)]
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row[len(keys) :])
+    if held:
+        yield now, held
+
+
+def _written(repair: Repair, template: Template, joint: str, conv, number: int, turns: list[tuple], entry: int, leave: int | None, first: bool) -> tuple:
+    cost, repaired, counts = repair.apply(turns, joint, entry, leave)
+    written = [r for r, _ in repaired if r]
+    text = render(repaired, template, joint, first, leave is None)
+    return (conv, number, len(turns), len(written), counts["relabelled"], counts["merged"], counts["inserted"], cost, "".join(r[0] for r in written), text)
+
+
+def _frames(rows: Iterator[tuple], names: list[str], ids: list[str]) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 1000:
+            yield pd.DataFrame(held, columns=names).astype({k: "Int64" for k in ids})
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names).astype({k: "Int64" for k in ids})
 
 
-def format_chats(turns: DataFrame, costs: Costs = Costs(), template: Template = Template(), joint: str = "\n\n") -> DataFrame:
-    """(conv_id, n_turns, n_repaired, relabelled, merged, inserted, cost, roles, formatted): one row a conversation.
+def format_chats(turns: DataFrame, costs: Costs = Costs(), template: Template = Template(), joint: str = "\n\n", segment: int = 2048) -> DataFrame:
+    """(conv_id, segment, n_turns, n_repaired, relabelled, merged, inserted, cost, roles, formatted): one row for each
+    conversation, or for each run of ``segment`` turn numbers of a longer one (segments count from 0).
 
-    turns: (conv_id, turn, role, text), read in the order of turn (nulls first), then role and text. Unknown or null roles are
+    turns: (conv_id, turn, role, text), read in the order of turn, then role and text; null numbers come before 0. Unknown or null roles are
     relabelled cheaply; null texts are empty. Turns that are repeated (same number, role and text) are turns like others and
     merge. A null conv_id is one conversation. Empty table: no rows. Extra columns are left out.
     """
-    fields = "conv_id long, n_turns long, n_repaired long, relabelled long, merged long, inserted long, cost long, roles string, formatted string"
-    names = [f.split()[0] for f in fields.split(", ")]
+    own = turns.select(
+        F.col("conv_id").cast("long"), F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)).cast("long").alias("run"), F.col("turn"), F.col("role").cast("string"), F.col("text").cast("string")
+    )
+    # compared with nulls as equal
+    spans = own.groupBy("conv_id").agg(F.min("run").alias("least"), F.max("run").alias("most"))
+    long = saved(spans.where("least <> most").select(F.col("conv_id").alias("long_id"), F.lit(True).alias("cut")))
+    n = long.count()
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(costs)
-        held: list[tuple] = []
-        now: object = held  # no conversation yet
-
-        def done() -> tuple:
-            cost, repaired, counts = repair.apply(held, joint)
-            roles = "".join(r[0] for r, _ in repaired)
-            return (now, len(held), len(repaired), counts["relabelled"], counts["merged"], counts["inserted"], cost, roles, render(repaired, template))
-
-        for frame in frames:
-            out = []
-            ids = frame["conv_id"].astype("Int64")
-            for conv, role, text in zip(ids, frame["role"], frame["text"], strict=True):
-                conv = None if conv is pd.NA else int(conv)
-                if now is held or conv != now:
-                    if now is not held:
-                        out.append(done())
-                    now = conv
-                    held.clear()
-                held.append((role if isinstance(role, str) else None, text if isinstance(text, str) else None))
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
-        if now is not held:
-            yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
-
-    thin = turns.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    return thin.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(rows, fields)
+        rows = (_written(repair, template, joint, key[0], 0, held, START, None, True) for key, held in _groups(frames, ["conv_id"]))
+        return _frames(rows, _NAMES, ["conv_id"])
+
+    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repair = Repair(costs)
+        rows = ((*key, [x for r in repair.matrix([known_role(r) for r, in held]) for x in r]) for key, held in _groups(frames, ["conv_id", "run"]))
+        return _frames(rows, ["conv_id", "run", "matrix"], ["conv_id", "run"])
+
+    def chained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repair = Repair(costs)
+
+        def rows() -> Iterator[tuple]:
+            for key, held in _groups(frames, ["conv_id"]):
+                states = repair.cuts([np.asarray(m).reshape(4, 4).tolist() for _, m in held])
+                for k, (run, _) in enumerate(held):
+                    yield (key[0], run, k, states[k], states[k + 1] if k + 1 < len(held) else None)
+
+        return _frames(rows(), ["state_id", "state_run", "segment", "entry", "leave"], ["state_id", "state_run", "segment", "entry", "leave"])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repair = Repair(costs)
+
+        def rows() -> Iterator[tuple]:
+            for (conv, _, number, entry, leave), held in _groups(frames, ["conv_id", "run", "segment", "entry", "leave"]):
+                yield _written(repair, template, joint, conv, number, held, entry, leave, number == 0)
+
+        return _frames(rows(), _NAMES, ["conv_id"])
+
+    order = ["turn", "role", "text"]
+    if not n:
+        return own.repartition("conv_id").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "role", "text").mapInPandas(whole, _FIELDS)
+    marked = own.join(long, own.conv_id.eqNullSafe(long.long_id), "left").drop("long_id")
+    short = marked.where("cut is null").drop("cut").repartition("conv_id").sortWithinPartitions("conv_id", "run", *order)
+    runs = marked.where("cut").drop("cut")
+    made = runs.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "run", "role").mapInPandas(matrices, "conv_id long, run long, matrix array<long>")
+    states = made.repartition("conv_id").sortWithinPartitions("conv_id", "run").mapInPandas(chained, "state_id long, state_run long, segment long, entry long, leave long")
+    known = runs.join(states, runs.conv_id.eqNullSafe(states.state_id) & (runs.run == states.state_run))
+    placed = known.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "run", "segment", "entry", "leave", "role", "text")
+    return short.select("conv_id", "role", "text").mapInPandas(whole, _FIELDS).unionByName(placed.mapInPandas(cut, _FIELDS))

@@ -66,10 +66,33 @@ def test_frames(spark):
         (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 2, "user", "c"), (3, 0, None, None), (None, 0, "user", "n"), (4, 0, "user", "r"),
         (4, 0, "user", "r"), (4, None, "system", "s"), (4, 1, "assistant", "z"), (5, 0, "system", "only"),
     ]
-    rows += [(6, i, "user" if i % 2 == 0 else "assistant", "long " * 50) for i in range(4000)]
+    rows += [(6, i, "user" if i % 2 == 0 else "assistant", "long " * 50) for i in range(2000)]
     got = {r.conv_id: r for r in format_chats(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, cost string")).collect()}
     assert {k: (r.n_turns, r.roles, r.cost) for k, r in got.items() if k != 6} == {
         1: (2, "ua", 0), 2: (3, "uaua", 5), 3: (1, "ua", 6), None: (1, "ua", 5), 4: (3 + 1, "sua", 1), 5: (1, "ua", 8)
     }
-    assert got[6].n_repaired == 4000 and got[6].cost == 0 and got[4].formatted.startswith("<|system|>\ns<|end|>\n<|user|>\nr\n\nr<|end|>")
+    assert got[6].n_repaired == 2000 and got[6].cost == 0 and got[4].formatted.startswith("<|system|>\ns<|end|>\n<|user|>\nr\n\nr<|end|>")
+    assert all(r.segment == (0 if r.conv_id != 6 else r.segment) for r in got.values())
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_long_conversations_are_cut(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "odd", None]), rng.choice(["", None, f"t{t}", f"u{t}"])) for c in (1, 2, None) for t in range(rng.randrange(20, 60))]
+    rows += [(7, 0, "user", "a"), (7, 1, "assistant", "b"), (1, None, "system", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in format_chats(df).collect()}
+    cut: dict = {}
+    for r in format_chats(df, segment=7).collect():
+        cut.setdefault(r.conv_id, []).append(r)
+    assert set(cut) == set(whole) and len(cut[7]) == 1
+    for conv, parts in cut.items():
+        parts.sort(key=lambda r: r.segment)
+        assert [r.segment for r in parts] == list(range(len(parts))) and (conv == 7 or len(parts) > 2)
+        assert sum(r.cost for r in parts) == whole[conv].cost and sum(r.n_turns for r in parts) == whole[conv].n_turns
+        names = {"s": "system", "u": "user", "a": "assistant"}
+        roles = [names[x] for r in parts for x in r.roles]
+        assert legal(roles)
+        text = "".join(r.formatted for r in parts)
+        assert text.count("<|end|>") == len(roles) and text.endswith("<|end|>\n")
+        assert [x for x in text.split("<|") if x.startswith(("user", "system", "assistant"))][0].startswith(roles[0])
