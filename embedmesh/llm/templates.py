@@ -4,7 +4,8 @@ Texts become tokens in which numbers, names (capitalised words inside a sentence
 a typed placeholder. Windows of the placeholders and words are hash-joined with those of the benchmark: a question that
 was asked anew with other values has the same windows. Then the slots are checked: along one alignment (diagonal) of
 document and item, each value of the item must stand for one value of the document. Diagonals whose slots disagree don't
-count; a document is contaminated by an item if enough of the item's windows remain.
+count; a document is contaminated by an item if enough of the item's windows remain: three in ten, which is some fourteen
+tokens in a row for an item of thirty.
 
 Only window hashes are joined, never texts; the benchmark's windows are counted and broadcast up to ``broadcast_windows``,
 joined by shuffle beyond. The texts of documents are looked at again only where an item with slots was hit.
@@ -89,7 +90,7 @@ def _slots(own: DataFrame, keys: list[str], place: str, value: str) -> DataFrame
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 5, cover: float = 0.5, consistency: float = 0.8, broadcast_windows: int = 2_000_000, broadcast_ids: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 5, cover: float = 0.3, consistency: float = 0.8, broadcast_windows: int = 2_000_000, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, slots, agreeing, reparameterised): one row for each document and benchmark
     item of which at least ``cover`` of the windows are in the document with consistent slots.
@@ -105,7 +106,8 @@ def contaminated(
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()] or [size]  # at most ``size`` numbers
     hits = saved(_hits(docs, items, sizes, items.count() <= broadcast_windows))
     totals = items.groupBy("item_id", "form").agg(F.countDistinct("ipos").alias("item_windows"))
-    enough = F.col("windows") >= F.col("item_windows") * cover
+    # in whole thousandths, so that no rounding decides
+    enough = F.col("windows") * 1000 >= F.col("item_windows") * round(cover * 1000)
     both = ["doc_id", "item_id", "form"]
     counted = lambda d: d.groupBy(*both).agg(F.countDistinct("ipos").alias("windows")).join(totals, ["item_id", "form"]).where(enough)
     likely = hits.join(counted(hits).select(*both), both, "left_semi").withColumn("diagonal", F.col("pos") - F.col("ipos"))
@@ -176,7 +178,7 @@ hit AS (
 total AS (SELECT item_id, form, count(DISTINCT ipos) AS item_windows FROM item_window GROUP BY ALL),
 first_pass AS (
   SELECT doc_id, item_id, form FROM hit JOIN total USING (item_id, form) GROUP BY doc_id, item_id, form, item_windows
-  HAVING count(DISTINCT ipos) >= item_windows * 0.5),
+  HAVING count(DISTINCT ipos) >= item_windows * 0.3),
 likely AS (SELECT hit.*, pos - ipos AS diagonal FROM hit SEMI JOIN first_pass USING (doc_id, item_id, form)),
 item_slot AS (
   SELECT DISTINCT item_id, form, p - 1 AS iplace, own[p] AS item_value, {_KIND.format(t='own[p]')} AS kind
@@ -207,6 +209,6 @@ SELECT doc_id, item_id, windows, item_windows, slots, agreeing, reparameterised
          row_number() OVER (PARTITION BY doc_id, item_id ORDER BY count(DISTINCT ipos) / item_windows DESC, form) AS place
   FROM kept JOIN total USING (item_id, form) JOIN along USING (doc_id, item_id, form)
   GROUP BY doc_id, item_id, form, item_windows, along.slots, along.agreeing, reparameterised
-  HAVING count(DISTINCT ipos) >= item_windows * 0.5)
+  HAVING count(DISTINCT ipos) >= item_windows * 0.3)
 WHERE place = 1
 """
