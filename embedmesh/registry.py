@@ -229,7 +229,25 @@ def component_sizes(spark, d):
     return it.component_sizes(fx.cc_edges(spark, d))
 
 
-@query()
+_M = "4294967296"
+#: The seeded 32-bit hash of a (small) id, step by step, then the register that it sets.
+_HASHED = {
+    "h1": f"SELECT id, (CAST(id AS HUGEINT) * 3432918353) % {_M} AS a FROM pr_vertices",
+    "h2": f"SELECT id, (((a * 32768) % {_M} + a // 131072) * 461845907) % {_M} AS a FROM h1",
+    "h3": "SELECT id, CAST(xor(48879, CAST(a AS BIGINT)) AS HUGEINT) AS a FROM h2",
+    "h4": f"SELECT id, (((a * 8192) % {_M} + a // 524288) * 5 + 3864292196) % {_M} AS a FROM h3",
+    "h5": f"SELECT id, xor(CAST((((a * 8192) % {_M} + a // 524288) * 5 + 3864292196) % {_M} AS BIGINT), 8) AS a FROM h4",
+    "h6": f"SELECT id, CAST((CAST(xor(a, a >> 16) AS HUGEINT) * 2246822507) % {_M} AS BIGINT) AS a FROM h5",
+    "h7": f"SELECT id, CAST((CAST(xor(a, a >> 13) AS HUGEINT) * 3266489909) % {_M} AS BIGINT) AS a FROM h6",
+    "h8": "SELECT id, xor(a, a >> 16) AS h FROM h7",
+    "register": "SELECT id, h & 15 AS slot, CAST(log2(((h >> 4) | 4026531840) & -((h >> 4) | 4026531840)) AS INTEGER) + 1 AS v FROM h8",
+    "reach": "SELECT id AS v, id AS w FROM pr_vertices UNION SELECT src, target FROM pr_edges",
+}
+
+
+@query(with_views("pr_edges pr_vertices", """SELECT id, CAST(trunc(CASE WHEN raw < 40 AND empty > 0 THEN 16 * ln(16 / empty) ELSE raw END) AS BIGINT) AS reachable FROM (
+  SELECT id, 16 - count(*) AS empty, 0.673::DOUBLE * 256 / (sum(pow(2::DOUBLE, -m)) + 16 - count(*)) AS raw FROM (
+    SELECT reach.v AS id, slot, max(register.v) AS m FROM reach JOIN register ON register.id = w GROUP BY 1, 2) GROUP BY 1)""", **_HASHED))
 def reachability_counters(spark, d):
     return it.reachability_counters(fx.pr_edges(spark, d)).select("id", "reachable")
 
