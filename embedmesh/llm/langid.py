@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embedmesh.llm.common import in_blocks
+
 WINDOW = 256
 DIM = 8
 WIDTHS = (2, 3, 4, 5)
@@ -193,8 +195,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def found(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        made = [predict(shared.value, some) for some in in_blocks(texts)]
+        return pd.DataFrame({"lang_pred": [x for langs, _ in made for x in langs], "score": [x for _, scores in made for x in scores]})
 
     both = docs.withColumn("_found", found(F.col("text").cast("string")))
     return both.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")

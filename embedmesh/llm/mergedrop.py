@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 _MASK = (1 << 64) - 1
 #: Units in each of two generations of the memory, and the longest that is remembered.
-_KEEP = 150_000
+_KEEP = 60_000
 _LONG = 48
 #: Characters of a variant's texts that are worked on at a time.
 _CHUNK = 1 << 20

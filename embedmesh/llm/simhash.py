@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmesh.llm.common import parts
+from embedmesh.llm.common import in_blocks, parts
 from embedmesh.operators.components import connected_components
 from embedmesh.plans.storage import saved
 
@@ -277,9 +277,10 @@ def fingerprint_table(docs: DataFrame, width: int, seed: int = 42, words: int =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints(batch.column("text").to_pylist(), width, seed, words).astype(">u8")
-            values = pa.array([x.tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "fp"])
+            values: list[bytes] = []
+            for texts in in_blocks(batch.column("text")):
+                values += [x.tobytes() for x in fingerprints(texts, width, seed, words).astype(">u8")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, fp binary")
 
