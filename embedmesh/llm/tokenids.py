@@ -30,6 +30,8 @@ from embedmesh.llm.common import parts, range_bounds, range_bucket
 
 MAGIC = b"TOKIDS01"
 LEVEL = 3
+#: Stands for a null doc_id in the files.
+NO_ID = -(1 << 63)
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -73,11 +75,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, files:
     """Encodes the whole texts (null: empty) of (doc_id, text), appends ``end_id`` and writes ``files`` files (default:
     the session's shuffle partitions). Returns a list of one entry a file, in order: path, docs, tokens.
 
-    A null doc_id sorts first and is kept as the least 64-bit number. Rows of equal doc_id follow each other, ordered by
+    A null doc_id sorts first; the files hold NO_ID for it and readers give null again. Rows of equal doc_id follow each other, ordered by
     their frames. Empty table: no files.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     raw = train_dictionary(docs, tokenizer, end_id) if dictionary is None else dictionary
     where, base = _opened(folder)
     where.create_dir(base, recursive=True)
@@ -202,5 +204,6 @@ def read(spark: SparkSession, folder: str, files: list[dict], with_ids: bool = F
                         yield out
                         at, got = at + len(got), []
 
-    listed = spark.createDataFrame(rows, "path string, base long").withColumn("k", F.monotonically_increasing_id())
-    return listed.repartition(len(rows), "path").select("path", "base").mapInPandas(decode, fields)
+    listed = spark.createDataFrame(rows, "path string, base long")
+    found = listed.repartition(len(rows), "path").mapInPandas(decode, fields)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))

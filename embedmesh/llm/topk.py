@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     found = []
     candidates = whole(vectors)
     asked = whole(queries).dropDuplicates(["vec_id", "v"])
-    lengths = [r[0] for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").limit(64).collect()]
+    lengths = [r[0] for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # the different lengths
     for dims in lengths:
         own = asked.where(F.size("v") == dims)
         after = None

@@ -62,4 +62,8 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     files = tokenids.write(df, f"file://{tmp_path}/none", PATH)
+    missing = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/null"
+    got = tokenids.read(spark, folder, tokenids.write(missing, folder, PATH, files=2)).collect()
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in got) == [(0, None, 3), (3, 1, 1)]
     assert files == [] and tokenids.read(spark, f"file://{tmp_path}/none", files).collect() == []
