@@ -12,9 +12,9 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from glob import glob
-from os.path import isdir, join
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -72,13 +72,23 @@ class ArcReader(DataSourceReader):
     def __init__(self, options):
         self.options = options
 
+    def _opened(self) -> tuple[fs.FileSystem, str]:
+        path = self.options["path"]
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"].removeprefix("file://")
-        files = sorted(glob(join(path, "*"))) if isdir(path) else sorted(glob(path))
+        """The files of a folder, one file, or (on a local disk) those of a pattern."""
+        where, base = self._opened()
+        found = where.get_file_info(base)
+        if found.type == fs.FileType.Directory:
+            files = sorted(f.path for f in where.get_file_info(fs.FileSelector(base)) if f.is_file)
+        else:
+            files = [base] if found.is_file else sorted(glob(base))
         return [InputPartition(f) for f in files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as raw:
+        where, _ = self._opened()
+        with where.open_input_stream(partition.value, compression=None) as raw:
             for number, member in enumerate(members(raw)):
                 if number:
                     yield record(member, partition.value)
