@@ -66,6 +66,12 @@ def tracker_cooccurrence(
     return own.where(above(F.col(score), threshold)).select("i", "j", F.col(score).alias("weight"))
 
 
+def graph_nodes(labels: DataFrame, what: str = "company", categories: tuple[str, ...] = ("Advertising", "Beacon", "Analytics")) -> DataFrame:
+    """(id, label, value): the nodes of a co-occurrence graph, valued by the logarithm of their third parties' occurrences."""
+    own = labels.where(F.col("category").isin(*categories) & F.col(what).isNotNull())
+    return own.groupBy(F.col(what).alias("id")).agg(F.ln(F.sum("occurrences")).alias("value")).select("id", F.col("id").alias("label"), "value")
+
+
 def conditional_probability(pairs: DataFrame, min_p: float = 0.15) -> DataFrame:
     """Directed edges (row, col, p): P(row | col) = c[row, col] / c[col, col], over min_p, row and col different."""
     diagonal = pairs.where("i = j").select(F.col("i").alias("col"), F.col("count").alias("own"))

@@ -310,6 +310,21 @@ def tracker_lift(spark, d):
     return co.lift(co.pair_counts(sites, "third_party"), labels, _orders(spark, d)).select("row", "col", _r("lift", 6))
 
 
+@query(with_views("labels_tp", """SELECT company AS id, company AS label, round(ln(sum(occurrences)), 8) AS value FROM labels_tp
+  WHERE category IN ('Advertising','Beacon','Analytics') AND company IS NOT NULL GROUP BY 1"""))
+def company_nodes(spark, d):
+    return co.graph_nodes(fx.labels_tp(spark, d)).select("id", "label", _r("value"))
+
+
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", """SELECT i, j, round(CASE WHEN greatest(mi, mj) < 2 OR phi * phi >= 1 THEN 'nan'::DOUBLE ELSE phi * sqrt(greatest(mi, mj) - 2) / sqrt(1 - phi * phi) END, 6) AS t FROM (
+  SELECT *, CASE WHEN mi * mj * (n - mi) * (n - mj) <= 0 THEN 'nan'::DOUBLE ELSE (n * c - mi * mj) / sqrt(mi * mj * (n - mi) * (n - mj)) END AS phi FROM s, n)
+  WHERE phi > 0"""))
+def tracker_phi(spark, d):
+    sites = co.labelled_sites(fx.third_party_long(spark, d), fx.labels_tp(spark, d), ("Advertising", "Beacon"), "third_party")
+    own = co.scored(co.pair_counts(sites, "third_party"), _orders(spark, d))
+    return own.where(stats.above(F.col("phi"), 0)).select("i", "j", _r("t", 6))
+
+
 # statistics
 
 
