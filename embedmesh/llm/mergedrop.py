@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,9 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from embedmesh.llm.common import in_blocks
 
 BLANK = "▁"
 _MASK = (1 << 64) - 1
@@ -355,20 +359,33 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variant
     Null or empty text: no ids, lossless. A null key counts as 0. Repeated rows get equal ids. Empty table: no rows. rate 0
     gives the model's own best segmentation, rate 1 single characters.
     """
-    fields = "n_pieces long, ids_crc32 long, lossless boolean" + ", piece_ids array<int>" * with_ids
+    made = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    if with_ids:
+        made.add("piece_ids", T.ArrayType(T.IntegerType()))
+    own = docs.drop(*made.names)
+    plain = own.schema
 
-    @F.pandas_udf(fields)
-    def work(text: pd.Series, own: pd.Series) -> pd.DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, seed, rate, variants)
-        rows = []
-        texts = [t if isinstance(t, str) else "" for t in text]
-        for t, ids in zip(texts, c.encode_many(texts, own.tolist()), strict=True):
-            rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), c.decode(ids) == t, *([ids.astype(np.int32)] * with_ids)))
-        return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "lossless", *["piece_ids"] * with_ids])
-
-    names = [f.split()[0] for f in fields.split(", ")]
-    both = docs.withColumn("_made", work(F.col("text").cast("string"), F.coalesce(F.col(key).cast("long"), F.lit(0))))
-    return both.withColumns({n: F.col(f"_made.{n}") for n in names}).drop("_made")
+        for batch in batches:
+            at = 0
+            for texts in in_blocks(batch.column("text")):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                keys = part.column(part.num_columns - 1).to_pylist()
+                found = c.encode_many(texts, keys)
+                columns = [
+                    pa.array(list(map(len, found)), pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                    pa.array([c.decode(x) == (t or "") for t, x in zip(texts, found, strict=True)], pa.bool_()),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*plain.names, *made.names])
+
+    keyed = own.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    return keyed.mapInArrow(work, T.StructType([*plain.fields, *made.fields]))
 
 
 def decode(ids: DataFrame, path: str, column: str = "piece_ids") -> DataFrame:
