@@ -30,7 +30,7 @@ from embedmesh.llm.common import in_blocks
 BLANK = "▁"
 _MASK = (1 << 64) - 1
 #: Units in each of two generations of the memory, and the longest that is remembered.
-_KEEP = 60_000
+_KEEP = 30_000
 _LONG = 48
 #: Characters of a variant's texts that are worked on at a time.
 _CHUNK = 1 << 20
@@ -369,7 +369,7 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variant
         c = codec(path, seed, rate, variants)
         for batch in batches:
             at = 0
-            for texts in in_blocks(batch.column("text")):
+            for texts in in_blocks(batch.column("text"), 3 << 20):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 keys = part.column(part.num_columns - 1).to_pylist()

@@ -140,10 +140,12 @@ def contaminated(
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 500_000, **options) -> DataFrame:
+    """docs without the documents that hold a benchmark item; rows with a null doc_id stay. The ids to drop are counted, and
+    broadcast if they are few, so that texts aren't shuffled."""
+    bad = saved(contaminated(docs, benchmark, broadcast_ids=broadcast_ids, **options).select("doc_id").distinct())
+    few = bad.count() <= broadcast_ids
+    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def _sql_tokens(text: str, with_names: bool = True) -> str:
