@@ -306,26 +306,14 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _near(radius: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("a")) ^ _matrix(batch.column("b"))
-                kept = np.bitwise_count(x).sum(1, dtype=np.int64) <= radius
-                yield batch.select(["src", "target"]).filter(pa.array(kept))
-
-    return rows
-
-
 def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, carried: int = 2, tables: int = 48, key_bits: int = 16, block: int = 20_000
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, tables: int = 48, key_bits: int = 16, block: int = 20_000
 ) -> DataFrame:
     """(doc_id, component_id) for a similarity that is too low for 64 bits: 64 * words bits estimate the Jaccard similarity
     of ``width``-word shingles to about 0.02.
 
-    Candidates share ``key_bits`` sampled bits in one of ``tables`` tables and are near in the first ``carried`` words with a
-    wide margin; every edge of the buckets' forests is then decided on all bits (half a standard deviation
-    over the expectation at ``similarity``). A pair at 0.8 meets in some table in 97 of 100 cases, one at 0.9 practically
+    Candidates share ``key_bits`` sampled bits in one of ``tables`` tables and are decided inside the bucket on all bits
+    (half a standard deviation over the expectation at ``similarity``), so a bucket's forest spans links only. A pair at 0.8 meets in some table in 97 of 100 cases, one at 0.9 practically
     always. Nulls, ties and empty tables as in simhash_components.
     """
     p = share_of_bits(similarity)
@@ -333,12 +321,7 @@ def near_duplicates(
     own = saved(fingerprint_table(docs, width, seed, words))
     prints = saved(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = prints.where("rep is not null")
-    pairs = links(known.select("rep", "fp"), far(64 * carried, 2.5), sampled_keys(tables, key_bits, 64 * words), block, carried)
-    # an id can stand for several fingerprints only where ids repeat; then any of them may decide
-    full = known.groupBy("rep").agg(F.min("fp").alias("fp"))
-    both = pairs.join(full.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src").join(full.select(F.col("rep").alias("target"), F.col("fp").alias("b")), "target")
-    edges = both.select("src", "target", "a", "b").mapInArrow(_near(far(64 * words, 0.5)), "src long, target long")
-    found = connected_components(edges)
+    found = connected_components(links(known.select("rep", "fp"), far(64 * words, 0.5), sampled_keys(tables, key_bits, 64 * words), block, words))
     classes = prints.join(found, prints.rep == found.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", "component_id")
 
