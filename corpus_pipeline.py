@@ -16,13 +16,14 @@ from embedmesh.llm import langid, mergedrop, simhash, templates
 from embedmesh.llm.common import table
 from embedmesh.plans.storage import shared_dir
 
-#: Below this no language is recognised at all.
-MIN_SCORE = 0.25
+#: A language must hold at least half of a document. ``und`` is a class of its own, so any number of languages leaves room below.
+MIN_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (or text), and those for which every language scores under MIN_SCORE."""
-    model = langid.fit(docs.where(~langid.held_out()))
+    """Drops documents without a letter (or text), those that look like no learned language, and those for which every
+    language scores under MIN_SCORE."""
+    model = langid.fit(docs.where(~langid.held_out()), reject=True)
     found = langid.identify(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
     return kept.drop("lang_pred", "score").withColumnsRenamed({f"own_{c}": c for c in docs.columns if c in ("lang_pred", "score")}).select(*docs.columns)

@@ -178,12 +178,45 @@ def sample_windows(labelled: DataFrame, max_rows: int, windows: int, seed: int =
     return chosen.mapInPandas(cut, "lang string, window binary").orderBy("lang", "window").limit(4 * max_rows * windows).toPandas()
 
 
-def fit(labelled: DataFrame, max_rows: int = 2000, windows: int = 6, epochs: int = 6, seed: int = 1) -> Model | None:
+#: First and last letter of scripts from which foreign windows are made.
+_SCRIPTS = ((0x61, 0x7A), (0x61, 0x7A), (0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3093), (0xAC00, 0xD7A3), (0x4E00, 0x9FA5), (0x4E00, 0x9FA5))
+
+
+def foreign_windows(windows: list[bytes], number: int, seed: int = 1) -> list[bytes]:
+    """Windows of no language that was learned: texts whose letters have changed places, and random words of many scripts."""
+    rng = np.random.default_rng([seed, 2])
+    wide = WINDOW + REACH - 1
+    out = []
+    for k in range(number):
+        if k % 3 == 0 and windows:
+            text = list(windows[int(rng.integers(len(windows)))].decode("utf-8", "ignore"))
+            at = [i for i, c in enumerate(text) if c.isalpha()]
+            if len(at) < 40:
+                continue
+            for i, j in zip(at, rng.permutation(at).tolist(), strict=True):
+                text[i], text[j] = text[j], text[i]
+        else:
+            low, high = _SCRIPTS[int(rng.integers(len(_SCRIPTS)))]
+            letters = rng.integers(low, high + 1, int(rng.integers(4, 300)))
+            spaced = low < 0x3041 or low == 0xAC00
+            text = []
+            while len(text) < wide:
+                text += [*map(chr, rng.choice(letters, int(rng.integers(1, 12)))), *(" " if spaced or rng.random() < 0.2 else "")]
+        raw = "".join(text).encode()
+        out.append(raw[: int(rng.integers(30, 100)) if k % 3 == 2 else wide])
+    return out
+
+
+def fit(labelled: DataFrame, max_rows: int = 2000, windows: int = 6, epochs: int = 6, seed: int = 1, reject: bool = False) -> Model | None:
     """Trains on about ``max_rows`` rows (doc_id, text, lang) of those given, ``windows`` windows of each. Rows without a
-    text or label are passed over; without any, the model is None and every prediction ``und``."""
+    text or label are passed over; without any, the model is None and every prediction ``und``. reject: ``und`` is learned
+    as one more class, from foreign_windows."""
     sample = sample_windows(labelled, max_rows, windows, seed)
-    kept = [(w, x) for w, x in zip(sample["window"], sample["lang"], strict=True) if _LETTERISH[np.frombuffer(w, np.uint8)].any()]
-    return train([bytes(w) for w, _ in kept], [x for _, x in kept], epochs, seed)
+    kept = [(bytes(w), x) for w, x in zip(sample["window"], sample["lang"], strict=True) if _LETTERISH[np.frombuffer(w, np.uint8)].any()]
+    if reject and kept:
+        number = max(300, 2 * len(kept) // len({x for _, x in kept}))
+        kept += [(w, UNKNOWN) for w in foreign_windows([w for w, _ in kept], min(number, len(kept)), seed)]
+    return train([w for w, _ in kept], [x for _, x in kept], epochs, seed)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
