@@ -6,8 +6,11 @@ taken over the m nodes that it stands for, both in units of log m:
 * presentation: the entropy of the children's layout. A node that always looks the same carries little.
 * content: 1 - sum over distinct subtree texts of share * log_m(count). Text that repeats from page to page scores 0.
 
-A node whose weighted importance is under the threshold is a branch of the template and goes, unless it is an element that
-carries prose by itself, or its removal would take four fifths of a page's text. Elements whose name, role or class says what they
+The tree spans the whole body of every page. A node whose weighted importance is under the threshold is a branch of the
+template and goes, unless the removal of all such nodes would take four fifths of a page's text. Elements that carry prose
+by themselves (p, h1 to h6, li, td, blockquote, pre) share their path with unlike neighbours, so they are merged by path and
+text: one on n of a host's N pages has the importance 1 - log_N(n). Inside article and main every importance has a bonus;
+what lies beside them is judged like all else. Elements whose name, role or class says what they
 are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) go on every page.
 
 The statistics are counts by (host, path, kind, digest), summed before and after the shuffle: a host with a third of all
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,7 @@ _NOISE = {
     "noframes", "applet", "audio", "video", "datalist", "input", "noscript", "map", "fieldset",
 }
 _PROSE = {"html", "body", "main", "article", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td"}
+_LEAVES = _PROSE - {"html", "body", "main", "article"}
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
@@ -61,11 +66,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "noise", "main", "kids", "path", "parent")
+    __slots__ = ("tag", "names", "noise", "main", "inside", "kids", "path", "parent")
 
     def __init__(self, tag: str, names: tuple[str, ...], noise: bool, parent: Node | None):
         self.tag, self.names, self.noise, self.parent = tag, names, noise, parent
         self.main = tag in ("article", "main")
+        self.inside = self.main or (parent is not None and parent.inside)
         self.kids: list[Node | str] = []
         self.path = xxhash.xxh64_intdigest(f"{'.'.join((tag, *names))}", parent.path & 0xFFFFFFFFFFFFFFFF if parent else 0)
 
@@ -153,7 +159,7 @@ def _text(node: Node, skip: frozenset[int] | set[int], out: list[str]) -> None:
         if isinstance(x, str):
             out.append(x)
             continue
-        if x.noise or (x.path in skip and x.tag not in _PROSE):
+        if x.noise or (x.path in skip and x.tag not in _PROSE) or (skip and x.tag in _LEAVES and _prose_key(x) in skip):
             # what is cut still parts the text before from that after it
             out.append(" ")
             continue
@@ -170,43 +176,20 @@ def _joined(nodes: list[Node], skip) -> str:
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def _regions(root: Node) -> list[Node]:
-    """The outermost article and main elements outside noise; the whole page where there are none."""
-    found, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str) or x.noise:
-            continue
-        if x.main:
-            found.append(x)
-        else:
-            stack.extend(reversed(x.kids))
-    inner = [y for x in found if x.tag == "main" for y in _articles(x)]
-    return inner or found or [root]
-
-
-def _articles(node: Node) -> list[Node]:
-    found, stack = [], list(reversed(node.kids))
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str) or x.noise:
-            continue
-        if x.tag == "article":
-            found.append(x)
-        else:
-            stack.extend(reversed(x.kids))
-    return found
+def _prose_key(node: Node) -> int:
+    """By which prose elements are merged: their path and text."""
+    return xxhash.xxh64_intdigest(_joined([node], ()), node.path ^ 1)
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The article's text of one page. low: paths of the site's low-importance branches."""
+    """The article's text of one page. low: paths (of prose: keys) of the site's low-importance branches."""
     if not page:
         return ""
-    regions = _regions(parse(page))
-    whole = _joined(regions, ())
+    root = parse(page)
+    whole = _joined([root], ())
     if not low:
         return whole
-    kept = _joined(regions, low)
+    kept = _joined([root], low)
     return kept if 5 * len(kept) >= len(whole) else whole
 
 
@@ -214,9 +197,10 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _nodes(page: str) -> Iterator[tuple[int, int, int]]:
-    """(path, digest of the children's layout, digest of the subtree's text) of the block elements that may go."""
-    stack = list(_regions(parse(page)))
+def _nodes(page: str) -> Iterator[tuple[int, bool, int | None, int | None]]:
+    """(path, whether inside article or main, digest of the children's layout, digest of the subtree's text) of the block
+    elements that may go; (key, inside, None, None) of the prose, once a page."""
+    stack, seen = [parse(page)], set()
     while stack:
         x = stack.pop()
         if isinstance(x, str) or x.noise:
@@ -224,39 +208,58 @@ def _nodes(page: str) -> Iterator[tuple[int, int, int]]:
         stack.extend(x.kids)
         if x.tag and x.tag not in _INLINE and x.tag not in _VOID and x.tag not in _PROSE:
             layout = "|".join(k.tag + "." + ".".join(k.names) for k in x.kids if not isinstance(k, str))
-            yield _signed(x.path), _signed(xxhash.xxh64_intdigest(layout)), _signed(xxhash.xxh64_intdigest(_joined([x], ())))
+            yield _signed(x.path), x.inside, _signed(xxhash.xxh64_intdigest(layout)), _signed(xxhash.xxh64_intdigest(_joined([x], ())))
+        elif x.tag in _LEAVES and (key := _prose_key(x)) not in seen:
+            seen.add(key)
+            yield _signed(key), x.inside, None, None
 
 
 def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def importances(pages: DataFrame, weight: float = 0.9) -> DataFrame:
-    """(host, path, nodes, importance) of the merged nodes. weight: of content against presentation."""
+def importances(pages: DataFrame, weight: float = 0.9, bonus: float = 0.1) -> DataFrame:
+    """(host, path, nodes, importance) of the merged nodes. weight: of content against presentation. bonus: of a node inside
+    article or main."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for h, page in zip(batch.column("host"), batch.column("html"), strict=True):
+                held += [(h.as_py(), *n) for n in _nodes(page.as_py())]
+                if len(held) > 50_000:
+                    yield made(held)
+                    held = []
+            yield made(held)
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(h, *n) for h, page in frame.itertuples(index=False) for n in _nodes(page)]
-            yield pd.DataFrame(out, columns=["host", "path", "style", "content"])
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        columns = zip(*held, strict=True) if held else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], ["host", "path", "inside", "style", "content"])
 
     found = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host is not null and html is not null")
-    nodes = found.mapInPandas(rows, "host string, path long, style long, content long")
-    kinds = F.explode(F.create_map(F.lit("style"), F.col("style"), F.lit("content"), F.col("content"))).alias("kind", "digest")
-    counts = nodes.select("host", "path", kinds).groupBy("host", "path", "kind", "digest").count()
-    spread = counts.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == "style", F.col("count"))).alias("nodes"),
+    nodes = found.mapInArrow(rows, "host string, path long, inside boolean, style long, content long")
+    prose = F.create_map(F.lit("prose"), F.lit(0).cast("long"))
+    kinds = F.explode(F.when(F.col("style").isNull(), prose).otherwise(F.create_map(F.lit("style"), F.col("style"), F.lit("content"), F.col("content")))).alias("kind", "digest")
+    counts = nodes.select("host", "path", "inside", kinds).groupBy("host", "path", "inside", "kind", "digest").count()
+    spread = counts.groupBy("host", "path", "inside").agg(
+        F.sum(F.when(F.col("kind") != "content", F.col("count"))).alias("nodes"),
         F.sum(F.when(F.col("kind") == "style", F.col("count") * F.ln("count")).otherwise(0.0)).alias("style"),
         F.sum(F.when(F.col("kind") == "content", F.col("count") * F.ln("count")).otherwise(0.0)).alias("content"),
+        F.max(F.col("kind") == "prose").alias("prose"),
     )
     shared = lambda c: F.when(F.col("nodes") > 1, F.col(c) / F.col("nodes") / F.ln("nodes")).otherwise(0.0)
-    return spread.select("host", "path", "nodes", (weight * (1 - shared("content")) + (1 - weight) * (1 - shared("style"))).alias("importance"))
+    # what a host has once can't be low; that leaves few prose rows for the join
+    often = spread.where("nodes > 1").join(found.groupBy("host").agg(F.count("*").alias("of")), "host")
+    own = F.when(F.col("prose"), 1 - F.ln("nodes") / F.ln("of")).otherwise(weight * (1 - shared("content")) + (1 - weight) * (1 - shared("style")))
+    return often.select("host", "path", "nodes", (own + F.when(F.col("inside"), bonus).otherwise(0.0)).alias("importance"))
 
 
 def extract(pages: DataFrame, threshold: float = 0.2, least: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page (page_id, url, html) from its whole html.
 
     A null or empty page, or one without article text, gives an empty text. A null url or one without a host has no site
-    to compare with. Repeated rows stay repeated. Empty table: no rows. Extra columns are left out. least: branches seen
+    to compare with. The text is taken from the whole body, whatever its elements are called. Repeated rows stay repeated. Empty table: no rows. Extra columns are left out. least: branches seen
     fewer times are kept. The low branches of all hosts are broadcast if they are at most ``broadcast_rows``, joined else.
     """
     low = saved(importances(pages).where((F.col("nodes") >= least) & (F.col("importance") < threshold)).select("host", "path"))
