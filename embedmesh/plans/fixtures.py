@@ -66,8 +66,9 @@ def whois_tp(spark: SparkSession, d: str) -> DataFrame:
     return own.select(_supplier_name(F.col("s_suppkey")).alias("domain"), F.when(F.col("s_suppkey") % 6 == 0, "WHOISGUARD INC.").otherwise(F.col("n_name")).alias("company"))
 
 
-def _customer_edges(spark: SparkSession, d: str, other: str, least: int) -> DataFrame:
-    lines = table(spark, d, "lineitem").where(F.col("l_quantity") >= least)
+def _customer_edges(spark: SparkSession, d: str, other: str, least: int | None = None) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    lines = lines if least is None else lines.where(F.col("l_quantity") >= least)
     own = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select(F.col("o_custkey").alias("src"), (F.col(other) + 1_000_000).alias("target")).distinct()
 
@@ -80,6 +81,16 @@ def pr_edges(spark: SparkSession, d: str) -> DataFrame:
     return _customer_edges(spark, d, "l_suppkey", 45)
 
 
+def all_cc_edges(spark: SparkSession, d: str) -> DataFrame:
+    """As cc_edges, of every line item."""
+    return _customer_edges(spark, d, "l_partkey")
+
+
+def all_pr_edges(spark: SparkSession, d: str) -> DataFrame:
+    """As pr_edges, of every line item."""
+    return _customer_edges(spark, d, "l_suppkey")
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "target")).alias("id")).distinct()
 

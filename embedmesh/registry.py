@@ -252,6 +252,32 @@ def reachability_counters(spark, d):
     return it.reachability_counters(fx.pr_edges(spark, d)).select("id", "reachable")
 
 
+# the same over every line item; without SQL, as recursion over whole tables is too slow (tests/test_whole_graphs.py)
+
+
+@query()
+def pagerank_10_whole(spark, d):
+    edges = fx.all_pr_edges(spark, d)
+    return it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None).select("id", _r("rank", 10))
+
+
+@query()
+def third_parties_by_pagerank_whole(spark, d):
+    edges = fx.all_pr_edges(spark, d)
+    index = fx.table(spark, d, "supplier").select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string"), F.lit(".net")).alias("name"), (F.col("s_suppkey") + 1_000_000).alias("id"))
+    return rk.third_parties_by_pagerank(edges, it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None), index).select("name", _r("rank_sum"))
+
+
+@query()
+def component_sizes_whole(spark, d):
+    return it.component_sizes(fx.all_cc_edges(spark, d))
+
+
+@query()
+def reachability_counters_whole(spark, d):
+    return it.reachability_counters(fx.all_pr_edges(spark, d)).select("id", "reachable")
+
+
 # co-occurrence
 
 
