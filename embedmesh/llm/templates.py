@@ -25,8 +25,10 @@ UNITS = (
 )
 #: Slots are put between \x01 (names) or \x03 (units) and \x02 before tokens are taken.
 UNIT_AFTER = rf"(\d)\s*\b(?i:({'|'.join(UNITS[1:])}))\b|(\d)\s*(%)"
-NAME = r"([\p{Ll}\p{N},;:]['\"(]?[ \t]+)(\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*(?:[ \t]+\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*)*)"
-TOKEN = r"[\x01\x03][^\x02]*\x02|\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
+#: The repeated groups are possessive, as the JVM's matcher takes a stack frame for each repeat of any other group; nothing
+#: follows them, so they match the same. The SQL has neither such groups nor frames.
+NAME = r"([\p{Ll}\p{N},;:]['\"(]?[ \t]+)(\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*(?:[ \t]+\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*)*+)"
+TOKEN = r"[\x01\x03][^\x02]*\x02|\d+(?:[.,]\d+)*+|[\p{L}\p{M}]+"
 
 
 def tokens(text: Column, names: bool = True) -> Column:
@@ -150,7 +152,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: i
 
 def _sql_tokens(text: str, with_names: bool = True) -> str:
     plain = f"translate({text}, chr(1) || chr(2) || chr(3), '   ')"
-    q = lambda pattern: pattern.replace("'", "''")
+    q = lambda pattern: pattern.replace("'", "''").replace(")*+", ")*")
     units = f"regexp_replace({plain}, '{q(UNIT_AFTER)}', '\\1\\3 ' || chr(3) || '\\2\\4' || chr(2), 'g')"
     names = f"regexp_replace({units}, '{q(NAME)}', '\\1' || chr(1) || '\\2' || chr(2), 'g')"
     return f"regexp_extract_all(lower({names if with_names else units}), '{q(TOKEN)}')"
