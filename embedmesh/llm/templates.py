@@ -7,6 +7,10 @@ document and item, each value of the item must stand for one value of the docume
 count; a document is contaminated by an item if enough of the item's windows remain: three in ten, which is some fourteen
 tokens in a row for an item of thirty.
 
+A window of more slots than words says too little as a template and is joined with its values instead. Items of fewer than
+``least`` tokens (any short phrase would do) are found where they fill a line, or the whole text. In scripts that don't part
+their words a token is a character.
+
 Only window hashes are joined, never texts; the benchmark's windows are counted and broadcast up to ``broadcast_windows``,
 joined by shuffle beyond. The texts of documents are looked at again only where an item with slots was hit.
 """
@@ -28,7 +32,12 @@ UNIT_AFTER = rf"(\d)\s*\b(?i:({'|'.join(UNITS[1:])}))\b|(\d)\s*(%)"
 #: The repeated groups are possessive, as the JVM's matcher takes a stack frame for each repeat of any other group; nothing
 #: follows them, so they match the same. The SQL has neither such groups nor frames.
 NAME = r"([\p{Ll}\p{N},;:]['\"(]?[ \t]+)(\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*(?:[ \t]+\p{Lu}[\p{Ll}\p{M}][\p{L}\p{M}]*)*+)"
-TOKEN = r"[\x01\x03][^\x02]*\x02|\d+(?:[.,]\d+)*+|[\p{L}\p{M}]+"
+#: Thai, Lao, Myanmar, Khmer, kana and Chinese characters.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+TOKEN = rf"[\x01\x03][^\x02]*\x02|\d+(?:[.,]\d+)*+|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{M}}&&[{UNSPACED}]]"
+#: The same after each unspaced character has been set apart.
+_SQL_TOKEN = r"[\x01\x03][^\x02]*\x02|\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
+_BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def tokens(text: Column, names: bool = True) -> Column:
@@ -49,6 +58,11 @@ def template(own: Column) -> Column:
     return F.transform(own, lambda t: F.coalesce(placeholder(t), t))
 
 
+def values(own: Column) -> Column:
+    """Tokens without the marks: a word that looks like a name in one place and not in another is the same value."""
+    return F.transform(own, lambda t: F.translate(t, "\x01\x02\x03", ""))
+
+
 def windows(own: Column, size: int) -> Column:
     """Hashes of all windows of ``size`` tokens, in order; none for shorter texts."""
     n = F.size(own)
@@ -56,6 +70,33 @@ def windows(own: Column, size: int) -> Column:
     return F.when(n >= size, made).otherwise(F.array().cast("array<bigint>"))
 
 
+def value_windows(own: Column, size: int) -> Column:
+    """Structs (pos, h) of the windows with more slots than words, which are hashed with their values. From the places of
+    the slots, so that a text pays for its slots only."""
+    need = size // 2 + 1
+    slots = F.array_compact(F.transform(own, lambda t, i: F.when(placeholder(t).isNotNull(), i)))
+    span = lambda k: F.struct(
+        F.greatest(F.lit(0), F.element_at(slots, k + need) - F.lit(size - 1)).alias("a"), F.least(F.element_at(slots, k + 1), F.size(own) - F.lit(size)).alias("b")
+    )
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size(slots) - F.lit(need)), span), lambda x: x["a"] <= x["b"])
+    places = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["a"], x["b"]))))
+    made = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.lit("="), values(F.slice(own, i + 1, size))).alias("h")))
+    return F.when((F.size(own) >= size) & (F.size(slots) >= need), made).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+
+def line_keys(text: Column) -> Column:
+    """Hashes of the words of each line, and of the whole text."""
+    bare = lambda x: F.trim(F.regexp_replace(F.lower(x), _BETWEEN, " "))
+    return F.transform(F.filter(F.array_distinct(F.transform(F.array_append(F.split(text, "\n"), text), bare)), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def short_items(benchmark: DataFrame, least: int) -> DataFrame:
+    """(item_id, h) of the items of fewer than ``least`` tokens."""
+    few = F.size(tokens(F.col("text"), False))
+    whole = F.element_at(line_keys(F.col("text")), -1)
+    return benchmark.where("text is not null").where((few > 0) & (few < least)).select("item_id", whole.alias("h")).distinct()
+
+
 def item_tokens(benchmark: DataFrame) -> DataFrame:
     """(item_id, form, t): form 0 has names as slots; form 1, of items with names, as words, for texts that have lost their
     capitals (or are all capitals)."""
@@ -65,23 +106,25 @@ def item_tokens(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, size: int, least: int) -> DataFrame:
-    """(item_id, form, ipos, size, h): the item's windows with at least half words. Items of fewer than ``size`` tokens are one
-    window; those of fewer than ``least`` can't be told from chance and have none."""
-    own = item_tokens(benchmark).withColumn("t", template(F.col("t"))).withColumn("size", F.least(F.lit(size), F.size("t")))
+    """(item_id, form, ipos, size, by_value, h): the item's windows, with their values if less than half are words. Items of
+    fewer than ``size`` tokens are one window; those of fewer than ``least`` have none (see short_items)."""
+    own = item_tokens(benchmark).withColumn("c", template(F.col("t"))).withColumn("size", F.least(F.lit(size), F.size("t")))
     own = own.where(F.col("size") >= least).withColumn("ipos", F.explode(F.expr("sequence(0, size(t) - size)")))
-    part = F.slice("t", F.col("ipos") + 1, F.col("size"))
-    words = F.size(F.filter(part, lambda x: ~x.startswith("<")))
-    return own.where(words * 2 >= F.col("size")).select("item_id", "form", "ipos", "size", F.xxhash64(F.col("size"), part).alias("h")).distinct()
+    part = lambda x: F.slice(x, F.col("ipos") + 1, F.col("size"))
+    by_value = F.size(F.filter(part("c"), lambda x: ~x.startswith("<"))) * 2 < F.col("size")
+    h = F.when(F.col("by_value"), F.xxhash64(F.col("size"), F.lit("="), values(part("t")))).otherwise(F.xxhash64(F.col("size"), part("c")))
+    return own.withColumn("by_value", by_value).select("item_id", "form", "ipos", "size", "by_value", h.alias("h")).distinct()
 
 
-def _hits(docs: DataFrame, items: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """(doc_id, pos, item_id, form, ipos, size)."""
-    own = docs.select("doc_id", template(tokens(F.col("text"))).alias("t"))
-    if len(sizes) == 1:
-        placed = own.select("doc_id", F.posexplode(windows(F.col("t"), sizes[0])).alias("pos", "h"))
+def _hits(docs: DataFrame, items: DataFrame, sizes: list[int], by_value: list[int], small: bool) -> DataFrame:
+    """(doc_id, pos, item_id, form, ipos, size). sizes: of the items' windows; by_value: of those with their values."""
+    own = docs.select("doc_id", tokens(F.col("text")).alias("own"))
+    templates = own.select("doc_id", template(F.col("own")).alias("t"), *["own"] * bool(by_value))
+    if len(sizes) == 1 and not by_value:
+        placed = templates.select("doc_id", F.posexplode(windows(F.col("t"), sizes[0])).alias("pos", "h"))
     else:
-        every = F.concat(*[F.transform(windows(F.col("t"), s), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for s in sizes])
-        placed = own.select("doc_id", F.inline(every))
+        every = [F.transform(windows(F.col("t"), s), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for s in sizes]
+        placed = templates.select("doc_id", F.inline(F.concat(*every, *[value_windows(F.col("own"), s) for s in by_value])))
     return placed.join(F.broadcast(items) if small else items, "h").select("doc_id", "pos", "item_id", "form", "ipos", "size")
 
 
@@ -98,7 +141,8 @@ def contaminated(
     item of which at least ``cover`` of the windows are in the document with consistent slots.
 
     docs (doc_id, text), benchmark (item_id, text). slots: placeholders compared, agreeing: those that have the most
-    frequent counterpart of their item value, reparameterised: whether a slot's value differs. Null or short texts have no
+    frequent counterpart of their item value, reparameterised: whether a slot's value differs. An item of fewer than
+    ``least`` tokens counts as one window, without slots; one without a token is never found. Null or short texts have no
     windows; rows with a null id take no part. Rows of one doc_id count as one document, rows of one item_id as one item.
     Empty tables: no rows. Extra columns are left out.
     """
@@ -106,7 +150,8 @@ def contaminated(
     benchmark = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     items = saved(item_windows(benchmark, size, least))
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()] or [size]  # at most ``size`` numbers
-    hits = saved(_hits(docs, items, sizes, items.count() <= broadcast_windows))
+    by_value = [r["size"] for r in items.where("by_value").select("size").distinct().orderBy("size").collect()]
+    hits = saved(_hits(docs, items, sizes, by_value, items.count() <= broadcast_windows))
     totals = items.groupBy("item_id", "form").agg(F.countDistinct("ipos").alias("item_windows"))
     # in whole thousandths, so that no rounding decides
     enough = F.col("windows") * 1000 >= F.col("item_windows") * round(cover * 1000)
@@ -139,7 +184,14 @@ def contaminated(
     # of an item's two forms the one with the larger share
     fields = ["windows", "item_windows", "slots", "agreeing", "reparameterised"]
     best = F.max_by(F.struct(*fields), F.struct(F.col("windows") / F.col("item_windows"), -F.col("form"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    short = saved(short_items(benchmark, least))
+    n = short.count()
+    if not n:
+        return found
+    lines = docs.where("text is not null").select("doc_id", F.explode(line_keys(F.col("text"))).alias("h")).join(F.broadcast(short) if n <= broadcast_windows else short, "h")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return found.unionByName(lines.select("doc_id", "item_id").distinct().withColumns(dict(zip(fields, (one, one, none, none, F.lit(False)), strict=True))))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 500_000, **options) -> DataFrame:
@@ -155,10 +207,16 @@ def _sql_tokens(text: str, with_names: bool = True) -> str:
     q = lambda pattern: pattern.replace("'", "''").replace(")*+", ")*")
     units = f"regexp_replace({plain}, '{q(UNIT_AFTER)}', '\\1\\3 ' || chr(3) || '\\2\\4' || chr(2), 'g')"
     names = f"regexp_replace({units}, '{q(NAME)}', '\\1' || chr(1) || '\\2' || chr(2), 'g')"
-    return f"regexp_extract_all(lower({names if with_names else units}), '{q(TOKEN)}')"
+    return f"regexp_extract_all(regexp_replace(lower({names if with_names else units}), '([{UNSPACED}])', ' \\1 ', 'g'), '{q(_SQL_TOKEN)}')"
+
+
+def _sql_bare(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '{_BETWEEN}', ' ', 'g'))"
 
 
 _KIND = "CASE WHEN {t}[1] = chr(1) THEN '<name>' WHEN {t}[1] = chr(3) THEN '<unit>' WHEN {t}[1] BETWEEN '0' AND '9' THEN '<num>' END"
+_PART = """CASE WHEN 2 * len(list_filter(t[{pos} + 1 : {pos} + {size}], lambda x: NOT starts_with(x, '<'))) >= {size} THEN t[{pos} + 1 : {pos} + {size}]
+      ELSE list_prepend('=', list_transform(own[{pos} + 1 : {pos} + {size}], lambda x: translate(x, chr(1) || chr(2) || chr(3), ''))) END"""
 _T = f"list_transform(own, lambda t: coalesce({_KIND.format(t='t')}, t))"
 SQL = f"""
 WITH doc AS (
@@ -170,13 +228,11 @@ item AS (
         SELECT item_id, 1, {_sql_tokens('text', False)} FROM benchmark
         WHERE item_id IS NOT NULL AND len(list_filter({_sql_tokens('text')}, lambda t: t[1] = chr(1))) > 0)),
 item_window AS (
-  SELECT DISTINCT item_id, form, ipos, size, part FROM (
-    SELECT item_id, form, size, ipos, t[ipos + 1 : ipos + size] AS part
-    FROM (SELECT *, unnest(range(0, len(t) - size + 1)) AS ipos FROM item WHERE size >= 5))
-  WHERE 2 * len(list_filter(part, lambda x: NOT starts_with(x, '<'))) >= size),
+  SELECT DISTINCT item_id, form, ipos, size, {_PART.format(pos='ipos', size='size')} AS part
+  FROM (SELECT *, unnest(range(0, len(t) - size + 1)) AS ipos FROM item WHERE size >= 5)),
 doc_window AS (
-  SELECT doc_id, pos, s.size, t[pos + 1 : pos + s.size] AS part
-  FROM (SELECT doc_id, t, size, unnest(range(0, len(t) - size + 1)) AS pos FROM doc CROSS JOIN (SELECT DISTINCT size FROM item_window)) s),
+  SELECT doc_id, pos, s.size, {_PART.format(pos='pos', size='s.size')} AS part
+  FROM (SELECT doc_id, t, own, size, unnest(range(0, len(t) - size + 1)) AS pos FROM doc CROSS JOIN (SELECT DISTINCT size FROM item_window)) s),
 hit AS (
   SELECT doc_id, pos, item_id, form, ipos, size FROM doc_window JOIN item_window USING (size, part)),
 total AS (SELECT item_id, form, count(DISTINCT ipos) AS item_windows FROM item_window GROUP BY ALL),
@@ -215,4 +271,8 @@ SELECT doc_id, item_id, windows, item_windows, slots, agreeing, reparameterised
   GROUP BY doc_id, item_id, form, item_windows, along.slots, along.agreeing, reparameterised
   HAVING count(DISTINCT ipos) >= item_windows * 0.3)
 WHERE place = 1
+UNION ALL
+SELECT DISTINCT doc_id, item_id, 1, 1, 0, 0, false FROM (
+  SELECT doc_id, unnest(list_transform(list_append(string_split(text, chr(10)), text), lambda x: {_sql_bare('x')})) AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+JOIN (SELECT item_id, {_sql_bare('text')} AS k FROM benchmark WHERE item_id IS NOT NULL AND len({_sql_tokens('text', False)}) BETWEEN 1 AND 4) USING (k)
 """
