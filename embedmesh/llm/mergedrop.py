@@ -2,11 +2,14 @@
 
 Merging works on units (a run of blanks and the word after it: no piece crosses into the next). Each unit's candidate
 merges wait in an agenda ordered by score, then place. A candidate taken from the agenda is skipped if a keyed hash of
-(seed, variant, unit, its three borders) falls under the dropout rate: the result depends on nothing else, so any task that
-runs again gives the same ids. A document's variant is one of ``variants`` by its own key, so one word is cut in several
-ways over a corpus while each (unit, variant) is worked out once and remembered. Only merges make pieces, so every
-segmentation decodes to the text: characters without a piece fall back to bytes, and so does U+2581, which would
-otherwise decode to a blank.
+(seed, document key, number of the unit in its document, the candidate's three borders) falls under the dropout rate. So
+every occurrence of a word is cut on its own, the variety grows with the corpus, and a task that runs again gives the same
+ids. Only merges make pieces, so every segmentation decodes to the text: characters without a piece fall back to bytes, and
+so does U+2581, which would otherwise decode to a blank.
+
+A block's distinct units are first merged without dropout, with a trace of the candidates that were taken. An occurrence
+none of whose traced candidates is skipped ends in just that segmentation; all others are merged again under their own key.
+Both run for many units at a time, and nothing is remembered from block to block.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ from embedmesh.llm.common import in_blocks
 
 BLANK = "▁"
 _MASK = (1 << 64) - 1
-#: Units in each of two generations of the memory, and the longest that is remembered.
-_KEEP = 30_000
+#: The longest unit that is merged along with others.
 _LONG = 48
-#: Characters of a variant's texts that are worked on at a time.
-_CHUNK = 1 << 20
+#: Characters of texts, units, and traced candidates that are worked on at a time.
+_CHUNK = 3 << 20
+_UNITS = 1 << 14
+_TRACED = 1 << 19
 #: The rank of what can't merge.
 NONE = np.iinfo(np.int32).max
 
@@ -115,6 +119,11 @@ class Pairs:
                 known.setdefault(ch, n + len(known))
         self.symbol = known
         self.span = max(known.values(), default=0) + 1
+        #: code point -> symbol; -1: it never merges
+        self.of_code = np.full(0x110000, -1, np.int32)
+        for text, k in known.items():
+            if len(text) == 1:
+                self.of_code[ord(text)] = k
         keys, ranks, merged = [], [], []
         for text, r in model.rank.items():
             for k in range(1, len(text)):
@@ -159,19 +168,32 @@ class Pairs:
         return self._empty
 
 
-def _skipped(keys: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, limit: int) -> np.ndarray:
-    """Model.unit's test, for arrays."""
+def _place(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
     a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-    h = keys ^ (i.astype(np.uint64) * a + j.astype(np.uint64) * b + k.astype(np.uint64) * c)
+    return i.astype(np.uint64) * a + j.astype(np.uint64) * b + k.astype(np.uint64) * c
+
+
+def _skipped(keys: np.ndarray, place: np.ndarray, limit: int) -> np.ndarray:
+    """Model.unit's test, for arrays."""
+    h = keys ^ place
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(32)) < np.uint64(limit)
 
 
-def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def occurrence_keys(document: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Of the unit with that number in the document with that (hashed) key."""
+    h = document + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Many units of one length at once, each with its own agenda: a row of ranks whose least (then leftmost) candidate is
-    merged. A candidate that the hash skips never gets a rank. Returns (symbols, number of symbols) of each unit."""
+    merged. A candidate that the hash skips never gets a rank. Returns (symbols, number of symbols, places of the merges in
+    their order) of each unit."""
     m, n = symbols.shape
-    out, count = np.zeros((m, n), np.int32), np.full(m, n)
+    out, count, taken = np.zeros((m, n), np.int32), np.full(m, n), np.zeros((m, max(1, n - 1)), np.uint64)
     sym = symbols.astype(np.int32)
     # borders[:, x] is where symbol x begins; one more column for the end, then padding with the end
     borders = np.tile(np.arange(n + 2, dtype=np.int16).clip(max=n), (m, 1))
@@ -182,7 +204,7 @@ def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int)
         rank = pairs.ranks[at]
         if limit:
             able = np.flatnonzero(rank != NONE)
-            rank[able[_skipped(key[able], i[able], j[able], k[able], limit)]] = NONE
+            rank[able[_skipped(key[able], _place(i[able], j[able], k[able]), limit)]] = NONE
         return rank
 
     rank = np.full((m, n), NONE, np.int32)
@@ -205,6 +227,7 @@ def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int)
                 break
             rows = np.arange(len(where))
         width = sym.shape[1]
+        taken[where, n - width] = _place(borders[rows, best], borders[rows, best + 1], borders[rows, best + 2])
         new = pairs.merged[pairs.find(sym[rows, best], sym[rows, best + 1])]
         shift = np.arange(width - 1)[None] + (np.arange(width - 1)[None] > best[:, None])
         sym = np.take_along_axis(sym, shift, 1)
@@ -218,74 +241,18 @@ def merge_many(pairs: Pairs, symbols: np.ndarray, keys: np.ndarray, limit: int)
             ok = np.flatnonzero((at >= 0) & (at + 1 < size))
             x = at[ok]
             rank[ok, x] = ranked(sym[ok, x], sym[ok, x + 1], keys[ok], borders[ok, x], borders[ok, x + 1], borders[ok, x + 2])
-    return out, count
-
+    return out, count, taken
 
-class Variant(dict):
-    """Unit -> ids as little-endian unsigned 16-bit numbers, for one variant."""
 
-    def __init__(self, model: Model, pairs: Pairs, seed: int, number: int, rate: float):
-        super().__init__()
-        self.model, self.pairs, self.older = model, pairs, {}
-        self.salt = xxhash.xxh64_intdigest(f"{seed}:{number}")
-        self.limit = min(1 << 32, round(rate * (1 << 32)))
-        self.kind = "<u2" if len(model.bytes_of) <= 1 << 16 else "<u4"
-
-    def key(self, unit: str) -> int:
-        return xxhash.xxh64_intdigest(unit, self.salt) if self.limit else 0
-
-    def _alone(self, unit: str) -> bytes:
-        if unit == BLANK:
-            return np.array([self.model.byte_ids[b] for b in BLANK.encode()], self.kind).tobytes()
-        return np.array(self.model.unit(unit, self.key(unit), self.limit), self.kind).tobytes()
-
-    def all(self, units: list[str]) -> list[bytes]:
-        """The ids of distinct units."""
-        if len(self) >= _KEEP:
-            self.older = dict(self)
-            self.clear()
-        found = [self.get(u) for u in units]
-        lengths: dict[int, list[int]] = {}
-        for at, x in enumerate(found):
-            if x is not None:
-                continue
-            unit = units[at]
-            if (x := self.older.get(unit)) is not None:
-                found[at] = self[unit] = x
-            elif len(unit) > _LONG:
-                found[at] = self._alone(unit)
-            else:
-                lengths.setdefault(len(unit), []).append(at)
-        symbol = self.pairs.symbol
-        for n, places in lengths.items():
-            for first in range(0, len(places), 8192):
-                own = places[first : first + 8192]
-                flat = [symbol.get(ch, -1) for at in own for ch in units[at]]
-                symbols = np.array(flat, np.int64).reshape(-1, n)
-                odd = (symbols < 0).any(1) | (symbols >= len(self.model.bytes_of)).any(1)
-                keys = np.array([self.key(units[at]) for at in own], np.uint64)
-                got, count = merge_many(self.pairs, symbols[~odd], keys[~odd], self.limit)
-                raw = got[np.arange(n)[None] < count[:, None]].astype(self.kind).tobytes()
-                ends = (np.cumsum(count) * int(self.kind[-1])).tolist()
-                start = 0
-                for at, end in zip((at for at, x in zip(own, odd.tolist(), strict=True) if not x), ends, strict=True):
-                    found[at] = self[units[at]] = raw[start:end]
-                    start = end
-                for k in np.flatnonzero(odd).tolist():
-                    found[own[k]] = self[units[own[k]]] = self._alone(units[own[k]])
-        return found
-
-
-def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
-    """Units of all texts, each text led by a blank that isn't its own and followed by a break (U+0000 alone); and the
-    places of the breaks."""
-    led = [" " + t for t in texts]
-    raw = "\0".join([*led, ""]).encode("utf-8")
+def cut(texts: list[str], of_code: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of all texts, each followed by a break (a unit of its own); all code points; where each unit begins among them;
+    the places of the breaks among the units. A character that never merges is a unit of its own."""
+    raw = "\0".join([*texts, ""]).encode("utf-8")
     data = np.frombuffer(raw, np.uint8)
     at_byte = np.flatnonzero((data & 0xC0) != 0x80)
     code = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-    breaks = np.cumsum(np.fromiter(map(len, led), np.int64, len(led)) + 1) - 1
-    blank, own = code == 32, code == ord(BLANK)
+    breaks = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    blank, own = code == 32, of_code[code] < 0
     start = np.empty(len(code), bool)
     start[0] = True
     start[1:] = (blank[1:] & ~blank[:-1]) | own[1:] | own[:-1]
@@ -293,65 +260,165 @@ def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     start[breaks[:-1] + 1] = True
     where = np.flatnonzero(start)
     offsets = np.append(at_byte[where], len(data)).astype(np.int32)
-    return pa.StringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(raw)), np.searchsorted(where, breaks)
+    return pa.StringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(raw)), code, where, np.searchsorted(where, breaks)
+
+
+class Pool:
+    """Runs of values, added in any order and laid end to end; size and first of each run by its number."""
+
+    def __init__(self, runs: int, kind):
+        self.size, self.first, self.held, self.end = np.zeros(runs, np.int64), np.zeros(runs, np.int64), [np.empty(0, kind)], 0
+
+    def add(self, numbers: np.ndarray, matrix: np.ndarray, count: np.ndarray) -> None:
+        """The first ``count`` values of each row."""
+        self.held.append(matrix[np.arange(matrix.shape[1])[None] < count[:, None]].astype(self.held[0].dtype))
+        self.size[numbers], self.first[numbers] = count, self.end + np.cumsum(count) - count
+        self.end += int(count.sum())
+
+    def values(self, size: np.ndarray, first: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        return flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def flat(self) -> np.ndarray:
+        self.held = [np.concatenate(self.held)]
+        return self.held[0]
 
 
 class Codec:
-    def __init__(self, path: str, seed: int, rate: float, variants: int):
+    def __init__(self, path: str, seed: int, rate: float):
         self.model = Model(path)
-        pairs = Pairs(self.model)
-        self.variants = [Variant(self.model, pairs, seed, v, rate) for v in range(variants)]
-        self.kind = self.variants[0].kind
+        self.pairs = Pairs(self.model)
+        self.salt = xxhash.xxh64_intdigest(str(seed))
+        self.limit = min(1 << 32, round(rate * (1 << 32)))
+        self.kind = "<u2" if len(self.model.bytes_of) <= 1 << 16 else "<u4"
+
+    def document(self, key: int) -> int:
+        return xxhash.xxh64_intdigest(str(key), self.salt)
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
-        """The ids of each whole text; the first piece leads with a blank that isn't the text's, as such models want."""
-        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
-        held: list[list[int]] = [[] for _ in self.variants]
-        sizes = [0] * len(held)
-        for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
-            if not text:
-                continue
-            v = xxhash.xxh64_intdigest(str(key)) % len(held)
-            held[v].append(i)
-            sizes[v] += len(text)
-            if sizes[v] >= _CHUNK:
-                self._encode(v, held[v], texts, out)
-                held[v], sizes[v] = [], 0
-        for v, own in enumerate(held):
-            self._encode(v, own, texts, out)
-        return out
-
-    def _encode(self, v: int, own: list[int], texts: list, out: list[np.ndarray]) -> None:
-        if not own:
-            return
-        units, breaks = cut([texts[i] for i in own])
+        """The ids of each whole text; the first piece leads with a blank that isn't the text's, as such models want. Texts
+        over _CHUNK characters are worked on in parts that end where a unit does."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        base = [0] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            if not held:
+                return
+            documents = np.array([self.document(keys[i]) for i, _ in held], np.uint64)
+            for (i, _), (ids, units) in zip(held, self._encoded([t for _, t in held], documents, np.array([base[i] for i, _ in held])), strict=True):
+                out[i].append(ids)
+                base[i] += units
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for part in _in_parts(" " + text) if text else ():
+                held.append((i, part))
+                size += len(part)
+                if size >= _CHUNK:
+                    flush()
+                    size = 0
+        flush()
+        return [np.concatenate(x) if len(x) != 1 else x[0] for x in ([np.empty(0, self.kind)] if not y else y for y in out)]
+
+    def _encoded(self, texts: list[str], documents: np.ndarray, base: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(ids, number of units) of each text. base: the number of its first unit."""
+        units, code, where, breaks = cut(texts, self.pairs.of_code)
+        length = np.diff(np.append(where, len(code)))
         coded = units.dictionary_encode()
-        each = self.variants[v].all(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy()
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // int(self.kind[-1])
-        flat = np.frombuffer(b"".join(each), self.kind)
-        first = np.cumsum(sizes) - sizes
-        count = sizes[codes]
-        count[breaks] = 0
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(first[codes] - (ends - count), count) + np.arange(ends[-1])]
-        for i, found in zip(own, np.split(ids, ends[breaks][:-1]), strict=True):
-            out[i] = found
+        codes = coded.indices.to_numpy().astype(np.int64)
+        number = len(coded.dictionary)
+        seen = np.empty(number, np.int64)
+        seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        ids, trace = Pool(number, self.kind), Pool(number, np.uint64)
+        # characters that occur inside pieces only can end up without an id: such units go alone, as do long ones
+        symbol = self.pairs.of_code[code]
+        odd = np.maximum.reduceat(symbol, where) >= len(self.model.bytes_of)
+        alone = (odd | (length > _LONG))[seen] | (symbol[where[seen]] < 0)
+        self._merged(ids, trace, np.flatnonzero(~alone), seen[~alone], length, where, symbol, np.zeros(len(codes), np.uint64), 0)
+        for k in np.flatnonzero(alone).tolist():
+            text = coded.dictionary[k].as_py()
+            if len(text) == 1 or not self.limit:
+                self._one(ids, k, text, 0, 0)
+        size, first, flat = ids.size[codes], ids.first[codes], ids.flat()
+        size[breaks] = 0
+        counted = np.diff(np.concatenate(([-1], breaks)))
+        if self.limit:
+            document = np.repeat(np.arange(len(texts)), counted)
+            start = np.concatenate(([0], breaks[:-1] + 1))
+            key = occurrence_keys(documents[document], np.arange(len(codes)) - start[document] + base[document])
+            again = self._changed(trace, codes, key)
+            slow = np.flatnonzero(alone[codes] & (length > 1))
+            again[slow] = again[breaks] = False
+            again = np.flatnonzero(again)
+            own = Pool(len(again) + len(slow), self.kind)
+            self._merged(own, None, np.arange(len(again)), again, length, where, symbol, key, self.limit)
+            for n, (at, k) in enumerate(zip(slow.tolist(), codes[slow].tolist(), strict=True), len(again)):
+                self._one(own, n, coded.dictionary[k].as_py(), int(key[at]), self.limit)
+            changed = np.concatenate((again, slow))
+            size[changed], first[changed] = own.size, own.first + len(flat)
+            flat = np.concatenate((flat, own.flat()))
+        got = ids.values(size, first, flat)
+        ends = np.cumsum(size)[breaks]
+        return list(zip(np.split(got, ends[:-1]), (counted - 1).tolist(), strict=True))
+
+    def _one(self, pool: Pool, number: int, text: str, key: int, limit: int) -> None:
+        found = [self.model.byte_ids[b] for b in text.encode()] if text == BLANK else self.model.unit(text, key, limit)
+        pool.add(np.array([number]), np.array([found]), np.array([len(found)]))
+
+    def _merged(self, ids: Pool, trace: Pool | None, numbers: np.ndarray, at: np.ndarray, length: np.ndarray, where: np.ndarray, symbol: np.ndarray, key: np.ndarray, limit: int) -> None:
+        """Merges the units at those places and adds them to the pools under their numbers."""
+        for n in np.unique(length[at]).tolist():
+            own = np.flatnonzero(length[at] == n)
+            for some in np.split(own, range(_UNITS, len(own), _UNITS)):
+                got, count, taken = merge_many(self.pairs, symbol[where[at[some]][:, None] + np.arange(n)], key[at[some]], limit)
+                ids.add(numbers[some], got, count)
+                if trace is not None:
+                    trace.add(numbers[some], taken, n - count)
+
+    def _changed(self, trace: Pool, codes: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether one of the unit's traced candidates is skipped at each occurrence."""
+        found, flat, size = np.zeros(len(codes), bool), trace.flat(), trace.size[codes]
+        which = np.flatnonzero(size)
+        if not len(which):
+            return found
+        total = np.cumsum(size[which])
+        for some in np.split(which, np.unique(np.searchsorted(total, np.arange(_TRACED, total[-1], _TRACED), "left"))):
+            if len(some):
+                places = trace.values(size[some], trace.first[codes[some]], flat)
+                skipped = _skipped(np.repeat(key[some], size[some]), places, self.limit)
+                found[some] = np.logical_or.reduceat(skipped, np.cumsum(size[some]) - size[some])
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.model.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8")
 
 
+def _in_parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > _CHUNK:
+        # a unit begins at a blank after another character
+        end = at + _CHUNK
+        while 0 <= (end := text.find(" ", end)) and text[end - 1] == " ":
+            end += 1
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 @lru_cache(4)
-def codec(path: str, seed: int, rate: float, variants: int) -> Codec:
+def codec(path: str, seed: int, rate: float) -> Codec:
     """One for each worker process."""
-    return Codec(path, seed, rate, variants)
+    return Codec(path, seed, rate)
 
 
-def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variants: int = 4, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """docs and the columns piece_ids array<int> (if with_ids), n_pieces long, ids_crc32 long (of the ids as little-endian
     unsigned 32-bit numbers) and lossless boolean (whether they decode to the very text); columns of those names are
     replaced.
@@ -366,10 +433,10 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, variant
     plain = own.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, seed, rate, variants)
+        c = codec(path, seed, rate)
         for batch in batches:
             at = 0
-            for texts in in_blocks(batch.column("text"), 3 << 20):
+            for texts in in_blocks(batch.column("text"), _CHUNK):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 keys = part.column(part.num_columns - 1).to_pylist()
@@ -393,7 +460,7 @@ def decode(ids: DataFrame, path: str, column: str = "piece_ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def work(column: pd.Series) -> pd.Series:
-        c = codec(path, 0, 0.0, 1)
+        c = codec(path, 0, 0.0)
         n = len(c.model.bytes_of)
 
         def text(x) -> str | None:

@@ -50,7 +50,7 @@ def test_pipeline_against_brute_force(spark, corpus):
     want = {i for i, p in parent.items() if i == p and not 400 <= i < 500}
     assert set(got) == want and len(want) == 120
     texts = {r[0]: r[1] for r in rows}
-    codec = mergedrop.Codec(corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model"), 1, 0.1, 4)
+    codec = mergedrop.Codec(corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model"), 1, 0.1)
     assert all(r.lossless and r.piece_ids == codec.encode(texts[i], i).tolist() for i, r in got.items())
 
 
