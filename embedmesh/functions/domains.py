@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from embedmesh.functions.suffixes import SECOND, TOP
+from embedmesh.functions.suffixes import DEFAULT, Suffixes
 
 _STOP = re.compile(r"[/:]")
 _LABEL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\Z")
 _ODD = re.compile(r"[\[\]{}_<>|^\\%]")
 #: Providers whose customers' hosts count as the provider.
 PROVIDERS = ("amazonaws.com", "cloudfront.net", "googlecode.com", "blogspot.com", "googleapis.com", "appspot.com")
+#: Of these the bare names count too; those of the others are suffixes without an owner.
+BARE = {"cloudfront.net", "blogspot.com"}
 
 
 def could_be_url(text: str) -> bool:
@@ -43,21 +45,21 @@ def parse_domain(url: str) -> str:
     return url[max(slash, url.rfind("=", 0, end)) + 1 : end]
 
 
-def is_domain(name: str) -> bool:
+def is_domain(name: str, suffixes: Suffixes = DEFAULT) -> bool:
     """At least two well-formed labels, the last a known top-level domain."""
     labels = name.removesuffix(".").split(".")
-    return len(labels) > 1 and len(name) <= 253 and all(map(_LABEL.match, labels)) and labels[-1].lower() in TOP
+    return len(labels) > 1 and len(name) <= 253 and all(map(_LABEL.match, labels)) and suffixes.known(labels[-1].lower())
 
 
-def extract_host(candidate: str) -> str | None:
+def extract_host(candidate: str, suffixes: Suffixes = DEFAULT) -> str | None:
     """The host, empty for an empty candidate, None for a malformed one."""
     if not candidate:
         return ""
     found = parse_domain(candidate).removeprefix(".")
-    return found if is_domain(found) else None
+    return found if is_domain(found, suffixes) else None
 
 
-def private_domain(url: str | None, https_mode: str = "accept") -> str | None:
+def private_domain(url: str | None, https_mode: str = "accept", suffixes: Suffixes = DEFAULT) -> str | None:
     """The registrable domain of a URL or bare host; None where there is none. https_mode "reject": only http:// is taken off,
     so that https URLs have no domain."""
     if not url:
@@ -71,27 +73,38 @@ def private_domain(url: str | None, https_mode: str = "accept") -> str | None:
         host = plain
     host = host.lower()
     for provider in PROVIDERS:
-        if host.endswith("." + provider) or host == provider:
+        if host.endswith("." + provider):
             return provider
+        if host == provider:
+            return provider if provider in BARE else None
     labels = host.removesuffix(".").split(".")
-    if labels[-1] not in TOP or not all(map(_LABEL.match, labels)):
+    if not suffixes.known(labels[-1]) or not all(map(_LABEL.match, labels)):
         return None
-    size = 2 if ".".join(labels[-2:]) in SECOND else 1
+    size = suffixes.size(labels)
     return ".".join(labels[-size - 1 :]) if len(labels) > size else None
 
 
-def private_domain_column(url: Column, https_mode: str = "accept") -> Column:
+def private_domain_column(url: Column, https_mode: str = "accept", suffixes: Suffixes = DEFAULT) -> Column:
     """Vectorised; repeated URLs of a batch are worked out once."""
 
     @F.pandas_udf("string")
     def found(urls: pd.Series) -> pd.Series:
-        known = {u: private_domain(u, https_mode) for u in urls.dropna().unique()}
+        known = {u: private_domain(u, https_mode, suffixes) for u in urls.dropna().unique()}
         return urls.map(known).astype(object).where(urls.notna(), None)
 
     return found(url)
 
 
-def last_two_labels(domain: Column) -> Column:
-    return F.substring_index(domain, ".", -2)
+def host_column(url: Column, suffixes: Suffixes = DEFAULT) -> Column:
+    """extract_host of each; null for null."""
+
+    @F.pandas_udf("string")
+    def found(urls: pd.Series) -> pd.Series:
+        known = {u: extract_host(u, suffixes) for u in urls.dropna().unique()}
+        return urls.map(known).astype(object).where(urls.notna(), None)
+
+    return found(url)
 
 
+def last_two_labels(domain: Column) -> Column:
+    return F.substring_index(domain, ".", -2)

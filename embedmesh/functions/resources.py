@@ -10,15 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from embedmesh.functions.domains import could_be_url, expand_internal, extract_host, internal_prefix
+from embedmesh.functions.markup import ATTRIBUTE, RAW, Tags
+from embedmesh.functions.suffixes import DEFAULT, Suffixes
 
 TYPES = {"script": "SCRIPT", "iframe": "IFRAME", "img": "IMAGE", "link": "LINK"}
 SCHEMA = "array<struct<url:string,type:string>>"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_RAW = {"script", "style", "iframe", "textarea", "title", "noframes", "xmp"}
 #: Comments, strings (an unterminated one ends with its line) and template strings of a script; then what can precede a regular expression.
 _CODE = re.compile(
-    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"((?:[^"\\\n]|\\.)*)"?|'((?:[^'\\\n]|\\.)*)'?|`((?:[^`\\]|\\.)*)`?|(\breturn|\btypeof|[(,=:\[!&|?{};+*%~^<>-])\s*/((?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+)/""", re.S
+    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"((?:[^"\\\n]|\\.)*+)"?|'((?:[^'\\\n]|\\.)*+)'?|`((?:[^`\\]|\\.)*+)`?|(\breturn|\btypeof|[(,=:\[!&|?{};+*%~^<>-])\s*/((?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+)/""", re.S
 )
 _ESCAPE = re.compile(r"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|\r?\n|.)", re.S)
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
@@ -47,43 +46,60 @@ def code_strings(code: str) -> list[str]:
     return found
 
 
-def _script_hosts(code: str) -> list[str]:
+def _script_urls(code: str) -> list[str]:
     found = []
     for text in code_strings(code):
         if "." not in text:
             continue
         for token in re.split("[\"']", text):
             token = token.strip()
-            if could_be_url(token) and (host := extract_host(token.replace("\\.", "."))):
-                found.append(host)
+            if could_be_url(token):
+                found.append(token.replace("\\.", "."))
     return found
 
 
-def extract_resources(source_url: str | None, page: str | None) -> list[tuple[str, str]]:
-    """Distinct (host, type), in the order in which they occur. Linear in the page; malformed hosts are left out."""
-    prefix = internal_prefix(source_url or "")
-    found: dict[tuple[str, str], None] = {}
-    at, page = 0, page or ""
-    while m := _TAG.search(page, at):
-        at = m.end()
-        tag = (m[1] or m[3] or "").lower()
-        if tag in TYPES:
+def _uris(prefix: str, page: str) -> list[tuple[str, str]]:
+    """(URL as it stands, type) of everything that the page takes from elsewhere, in the order in which it occurs."""
+    found, tags = [], Tags(page)
+    while tag := tags.next():
+        _, name, raw, closing = tag
+        if closing or not name:
+            continue
+        if name in TYPES:
             own = {}
-            for key, value in _ATTR.findall(m[2] or m[4] or ""):
-                own.setdefault(key.lower(), html.unescape(value.strip("\"'") if value[0] in "\"'" else value).strip())
-            needed = {"iframe": "src", "img": "src", "link": "href"}.get(tag)
+            for key, value in ATTRIBUTE.findall(raw):
+                if value:
+                    own.setdefault(key.lower(), html.unescape(value.strip("\"'") if value[0] in "\"'" else value).strip())
+            needed = {"iframe": "src", "img": "src", "link": "href"}.get(name)
             if needed is None or needed in own:
                 uri = own.get("src", "")
                 uri = uri if "." in uri else own.get("href", "")
-                if "." in uri and (host := extract_host(expand_internal(prefix, uri))):
-                    found[host, TYPES[tag]] = None
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            if tag == "script" and stop - at > 1:
-                found |= dict.fromkeys((h, "SCRIPT") for h in _script_hosts(page[at:stop]))
-            at = end.end() if end else len(page)
-    return list(found)
+                if "." in uri:
+                    found.append((expand_internal(prefix, uri), TYPES[name]))
+        if name in RAW:
+            begin, end = tags.raw(name)
+            if name == "script" and end - begin > 1:
+                found += [(u, "SCRIPT") for u in _script_urls(page[begin:end])]
+    return found
+
+
+def judged_resources(source_url: str | None, page: str | None, suffixes: Suffixes = DEFAULT) -> tuple[list[tuple[str, str]], list[str]]:
+    """(distinct (host, type), in the order in which they occur; distinct URLs whose host is malformed or under no known
+    top-level domain)."""
+    found: dict[tuple[str, str], None] = {}
+    bad: dict[str, None] = {}
+    for uri, kind in _uris(internal_prefix(source_url or ""), page or ""):
+        host = extract_host(uri, suffixes)
+        if host:
+            found[host, kind] = None
+        elif host is None:
+            bad[uri] = None
+    return list(found), list(bad)
+
+
+def extract_resources(source_url: str | None, page: str | None, suffixes: Suffixes = DEFAULT) -> list[tuple[str, str]]:
+    """Distinct (host, type), in the order in which they occur. Linear in the page; malformed hosts are left out."""
+    return judged_resources(source_url, page, suffixes)[0]
 
 
 def resources_column(url: Column, page: Column) -> Column:

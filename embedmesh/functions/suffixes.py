@@ -1,6 +1,11 @@
-"""A subset of the public suffixes: enough for common hosts; a last label that is not listed is no suffix of a valid host,
+"""Public suffixes. Callers can pass the rules of a public suffix file (``Suffixes.read``); built in is a subset: enough for common hosts; a last label that is not listed is no suffix of a valid host,
 and an unlisted second level is taken as a registrable name."""
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 GENERIC = set(
     "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev io blog shop site online store tech xyz club top live news media "
     "cloud page link click space website world today life email agency digital network systems solutions services group company global center academy games video tv web wiki art design "
@@ -27,3 +32,40 @@ _SECOND = {
     "lk": "com edu gov net org", "np": "com edu gov net org", "kz": "com edu gov net org", "by": "com gov mil of",
 }
 SECOND = {f"{x}.{tld}" for tld, names in _SECOND.items() for x in names.split()}
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Rules as in the public suffix list: ``rules`` as they stand, ``wild`` those under ``*.``, ``excepted`` those after ``!``."""
+
+    rules: frozenset[str]
+    wild: frozenset[str] = frozenset()
+    excepted: frozenset[str] = frozenset()
+    top: frozenset[str] = field(init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "top", frozenset(x.rpartition(".")[2] for x in self.rules | self.wild))
+
+    @classmethod
+    def read(cls, lines: Iterable[str]) -> Suffixes:
+        """From the lines of a suffix file: one rule a line, ``//`` begins a comment."""
+        rules = [x.split()[0].lower() for x in lines if x.strip() and not x.startswith("//")]
+        return cls(
+            frozenset(x for x in rules if x[0] not in "*!"), frozenset(x[2:] for x in rules if x.startswith("*.")), frozenset(x[1:] for x in rules if x[0] == "!")
+        )
+
+    def known(self, top: str) -> bool:
+        return top in self.top
+
+    def size(self, labels: list[str]) -> int:
+        """Labels of the longest suffix of a host; 1 if no rule is longer."""
+        for n in range(len(labels), 1, -1):
+            name, parent = ".".join(labels[-n:]), ".".join(labels[1 - n :])
+            if name in self.excepted:
+                return n - 1
+            if name in self.rules or parent in self.wild:
+                return n
+        return 1
+
+
+DEFAULT = Suffixes(frozenset(TOP) | SECOND)

@@ -1,6 +1,7 @@
 import pytest
 
 from embedmesh.functions import domains as d
+from embedmesh.functions.suffixes import Suffixes
 
 
 @pytest.mark.parametrize(
@@ -39,3 +40,18 @@ def test_columns(spark):
     rows = spark.createDataFrame([("http://a.b.com/1",), (None,), ("x",), ("http://a.b.com/1",)], "u string")
     got = rows.select(d.private_domain_column(rows.u).alias("p"), d.last_two_labels(rows.u).alias("l")).collect()
     assert [r.p for r in got] == ["b.com", None, None, "b.com"]
+
+
+def test_bare_names_of_providers():
+    assert [d.private_domain(x) for x in ("amazonaws.com", "googleapis.com", "blogspot.com", "x.appspot.com")] == [None, None, "blogspot.com", "appspot.com"]
+
+
+def test_suffixes_of_a_file():
+    own = Suffixes.read(["// a comment", "", "com", "zz", "*.ck", "!www.ck", "co.zz extra"])
+    assert [d.private_domain(x, suffixes=own) for x in ("a.b.com", "a.b.co.zz", "y.ck", "a.x.y.ck", "www.ck", "a.de")] == ["b.com", "b.co.zz", None, "x.y.ck", "www.ck", None]
+    assert d.extract_host("http://a.zz/1", own) == "a.zz" and d.extract_host("http://a.de/1", own) is None
+
+
+def test_host_column(spark):
+    rows = spark.createDataFrame([("http://a.b.com/1",), (None,), ("x",)], "u string")
+    assert [r.h for r in rows.select(d.host_column(rows.u).alias("h")).collect()] == ["a.b.com", None, None]
