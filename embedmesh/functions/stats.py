@@ -13,7 +13,8 @@ def _d(c: Column | str | float) -> Column:
 
 
 def xlogx(x: Column) -> Column:
-    return F.when(x == 0, 0.0).otherwise(x * F.ln(x))
+    """0 at 0. Every operand is written once: these expressions nest, and what repeats one grows past what can be compiled."""
+    return x * F.ln(F.greatest(x, F.lit(1e-300)))
 
 
 def entropy(*counts: Column | str | float) -> Column:
@@ -28,8 +29,8 @@ def entropy(*counts: Column | str | float) -> Column:
 def log_likelihood_ratio(k11, k12, k21, k22) -> Column:
     a, b, c, d = map(_d, (k11, k12, k21, k22))
     rows, columns, matrix = entropy(a + b, c + d), entropy(a + c, b + d), entropy(a, b, c, d)
-    # rounding can make it slightly negative
-    return F.when(rows + columns < matrix, 0.0).otherwise(2.0 * (rows + columns - matrix))
+    # rounding can make it slightly negative; null stays null, which greatest() would pass over
+    return F.abs(2.0 * (rows + columns - matrix) * ((rows + columns) >= matrix).cast("double"))
 
 
 def root_log_likelihood_ratio(k11, k12, k21, k22) -> Column:
@@ -37,7 +38,7 @@ def root_log_likelihood_ratio(k11, k12, k21, k22) -> Column:
     a, b, c, d = map(_d, (k11, k12, k21, k22))
     root = F.sqrt(log_likelihood_ratio(a, b, c, d))
     under = F.coalesce(F.try_divide(a, a + b) < F.try_divide(c, c + d), F.lit(False))
-    return F.when(under, -root).otherwise(root)
+    return root * F.when(under, -1.0).otherwise(1.0)
 
 
 def divided(a, b) -> Column:
@@ -58,7 +59,7 @@ def phi_t(own_phi: Column, mi, mj) -> Column:
 
 def above(x: Column, threshold) -> Column:
     """x > threshold with NaN above nothing (Spark orders NaN over all numbers)."""
-    return ~F.isnan(x) & (x > threshold)
+    return F.coalesce(F.nanvl(x, F.lit(None).cast("double")) > threshold, F.lit(False))
 
 
 def mean(c: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmesh.plans.storage import saved
+from embedmesh.plans.storage import released, saved
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, src: str = "src", target: str = "target", max_rounds: int = 100) -> DataFrame:
     """(vertex, component) for every vertex of an edge; component is the smallest vertex reachable.
 
-    Edges with a null end are left out; a self-loop keeps its vertex. Repeated edges don't matter.
+    Edges with a null end are left out; a self-loop keeps its vertex. Repeated edges don't matter. Rounds grow with the
+    logarithm of the longest path; a graph that isn't done after max_rounds is an error, never a part of the result.
     """
     # written once: what makes the edges may be long, and both the loops and the rounds start from them
     given = saved(
@@ -48,10 +49,12 @@ def connected_components(edges: DataFrame, src: str = "src", target: str = "targ
     loops = given.where("u = v").select(F.col("u").alias("vertex")).distinct()
     work = saved(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(work)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        work = saved(_small_star(_large_star(work).distinct()).where("u <> v").distinct())
+    rounds = 0
+    while before[0]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
+        last, work, rounds = work, saved(_small_star(_large_star(work).distinct()).where("u <> v").distinct()), rounds + 1
+        released(last)
         after = _state(work)
         if after == before:
             break

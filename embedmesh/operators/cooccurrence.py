@@ -10,18 +10,21 @@ shuffle by site, and are counted with partial aggregation. Only i <= j is counte
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from embedmesh.functions.stats import above, divided, phi, phi_t, root_log_likelihood_ratio
+from embedmesh.plans.storage import saved
 
 FIRST_PARTIES = 41_192_060
 
 
 def pair_counts(sites: DataFrame, what: str) -> DataFrame:
-    """(i, j, count), i <= j, over sites (domain, what) with more than one distinct value; (i, i) counts those that have i."""
+    """(i, j, count), i <= j, over sites (domain, what) with more than one distinct value; (i, i) counts those that have i.
+    Written once, as everything that follows reads it more than once; it has at most a row for each two labels."""
     own = sites.where(F.col(what).isNotNull()).groupBy("domain").agg(F.sort_array(F.collect_set(what)).alias("own")).where(F.size("own") > 1)
     pairs = own.select(F.posexplode("own").alias("at", "i"), "own").select("i", F.explode(F.slice("own", F.col("at") + 1, F.size("own"))).alias("j"))
-    return pairs.groupBy("i", "j").agg(F.count("*").alias("count"))
+    return saved(pairs.groupBy("i", "j").agg(F.count("*").alias("count")))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -80,6 +83,17 @@ def conditional_probability(pairs: DataFrame, min_p: float = 0.15) -> DataFrame:
     return cells.join(diagonal, "col").select("row", "col", p.alias("p")).where(above(F.col("p"), min_p))
 
 
+def probability_table(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(i, j, p) for every two labels (third_party) by their numbers from 0 in the order of the names: P(i | j), 1 where they
+    are the same and occur, 0 for what never meets or never occurs. A row for each two labels by definition."""
+    # the list of labels is numbered in one window; the result is its square
+    names = labels.select(F.col("third_party").alias("name")).distinct().withColumn("number", F.row_number().over(W.orderBy("name")) - 1)
+    own = names.join(pairs.where("i = j").select(F.col("i").alias("name"), F.col("count").alias("own")), "name", "left")
+    every = names.select(F.col("name").alias("a"), F.col("number").alias("i")).crossJoin(own.select(F.col("name").alias("b"), F.col("number").alias("j"), "own"))
+    cells = mirrored(pairs).select(F.col("i").alias("a"), F.col("j").alias("b"), "count")
+    return every.join(cells, ["a", "b"], "left").select("i", "j", F.coalesce(F.col("count") / F.col("own"), F.lit(0.0)).alias("p"))
+
+
 def lift(pairs: DataFrame, labels: DataFrame, n: int = FIRST_PARTIES) -> DataFrame:
     """(row, col, lift) for every pair of labels (third_party), also those that never meet: (c[row, col] / c[col, col]) /
     (c[row, row] / n), with 0 / 0 as NaN. The result has a row for each two labels by definition."""

@@ -66,28 +66,16 @@ def whois_tp(spark: SparkSession, d: str) -> DataFrame:
     return own.select(_supplier_name(F.col("s_suppkey")).alias("domain"), F.when(F.col("s_suppkey") % 6 == 0, "WHOISGUARD INC.").otherwise(F.col("n_name")).alias("company"))
 
 
-def _customer_edges(spark: SparkSession, d: str, other: str, least: int | None = None) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    lines = lines if least is None else lines.where(F.col("l_quantity") >= least)
-    own = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def _customer_edges(spark: SparkSession, d: str, other: str) -> DataFrame:
+    own = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select(F.col("o_custkey").alias("src"), (F.col(other) + 1_000_000).alias("target")).distinct()
 
 
 def cc_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _customer_edges(spark, d, "l_partkey", 50)
-
-
-def pr_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _customer_edges(spark, d, "l_suppkey", 45)
-
-
-def all_cc_edges(spark: SparkSession, d: str) -> DataFrame:
-    """As cc_edges, of every line item."""
     return _customer_edges(spark, d, "l_partkey")
 
 
-def all_pr_edges(spark: SparkSession, d: str) -> DataFrame:
-    """As pr_edges, of every line item."""
+def pr_edges(spark: SparkSession, d: str) -> DataFrame:
     return _customer_edges(spark, d, "l_suppkey")
 
 
@@ -100,7 +88,9 @@ def synthetic_pages(spark: SparkSession, d: str) -> DataFrame:
     host = F.concat(F.lit("http://cdn.supp"), F.col("l_suppkey").cast("string"), F.lit(".net/x"))
     tags = {0: ('<script src="', '"></script>'), 1: ('<iframe src="', '"></iframe>'), 2: ('<img src="', '">'), 3: ('<link href="', '">')}
     tag = F.coalesce(*[F.when(F.col("l_linenumber") % 4 == i, F.concat(F.lit(a), host, F.lit(b))) for i, (a, b) in tags.items()])
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(tag)).alias("body"))
+    # pages are small, but take work: as many partitions as there are cores, which AQE leaves alone
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", tag.alias("tag")).repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list("tag")).alias("body"))
     orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     url = F.concat(F.lit("http://www.cust"), F.col("o_custkey").cast("string"), F.lit(".com/"), F.col("o_orderkey").cast("string"))
     page = F.concat(F.lit("<html><head><title>order</title></head><body>"), F.coalesce("body", F.lit("")), F.lit("</body></html>"))
@@ -122,8 +112,8 @@ SQL = {
     "link_edges": "SELECT l_orderkey AS src, l_partkey AS target FROM lineitem",
     "whois_tp": """SELECT 'supp' || s_suppkey || '.net' AS domain, CASE WHEN s_suppkey % 6 = 0 THEN 'WHOISGUARD INC.' ELSE n_name END AS company
        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
-    "cc_edges": "SELECT DISTINCT o_custkey AS src, 1000000 + l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50",
-    "pr_edges": "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45",
+    "cc_edges": "SELECT DISTINCT o_custkey AS src, 1000000 + l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "pr_edges": "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "pr_vertices": "SELECT src AS id FROM pr_edges UNION SELECT target FROM pr_edges",
     "synthetic_third_party": """SELECT 'cust' || o_custkey || '.com' AS domain, 'supp' || l_suppkey || '.net' AS third_party,
        count(DISTINCT l_orderkey) FILTER (l_linenumber % 4 = 0) AS script, count(DISTINCT l_orderkey) FILTER (l_linenumber % 4 = 1) AS iframe,
