@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedmesh.functions import stats
-from embedmesh.functions.domains import extract_host, private_domain_column
+from embedmesh.functions.domains import host_column, private_domain_column
 from embedmesh.functions.resources import resources_column
 from embedmesh.functions.whois import registrant
 from embedmesh.operators import cooccurrence as co
@@ -223,8 +223,10 @@ def third_parties_by_pagerank(spark, d):
     return rk.third_parties_by_pagerank(edges, it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None), index).select("name", _r("rank_sum"))
 
 
+#: Every vertex passes on the least of what is new to it; what it has seen at the end holds its component's least vertex.
 @query("WITH RECURSIVE " + with_views("cc_edges", """SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM (SELECT v, min(w) AS c FROM reach GROUP BY 1) GROUP BY 1) GROUP BY 1""",
-  ends="SELECT src AS a, target AS b FROM cc_edges UNION ALL SELECT target, src FROM cc_edges").removeprefix("WITH ").replace(") SELECT size", "), reach(v, w) AS (SELECT DISTINCT a, a FROM ends UNION SELECT v, b FROM reach JOIN ends ON w = a) SELECT size"))
+  ends="SELECT src AS a, target AS b FROM cc_edges UNION ALL SELECT target, src FROM cc_edges").removeprefix("WITH ").replace(") SELECT size", """), reach(v, w) AS (
+  SELECT DISTINCT a, a FROM ends UNION SELECT b, min(w) FROM reach JOIN ends ON v = a GROUP BY b) SELECT size"""))
 def component_sizes(spark, d):
     return it.component_sizes(fx.cc_edges(spark, d))
 
@@ -252,32 +254,6 @@ def reachability_counters(spark, d):
     return it.reachability_counters(fx.pr_edges(spark, d)).select("id", "reachable")
 
 
-# the same over every line item; without SQL, as recursion over whole tables is too slow (tests/test_whole_graphs.py)
-
-
-@query()
-def pagerank_10_whole(spark, d):
-    edges = fx.all_pr_edges(spark, d)
-    return it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None).select("id", _r("rank", 10))
-
-
-@query()
-def third_parties_by_pagerank_whole(spark, d):
-    edges = fx.all_pr_edges(spark, d)
-    index = fx.table(spark, d, "supplier").select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string"), F.lit(".net")).alias("name"), (F.col("s_suppkey") + 1_000_000).alias("id"))
-    return rk.third_parties_by_pagerank(edges, it.pagerank(edges, fx.vertices(edges), max_iter=_ROUNDS, eps=None), index).select("name", _r("rank_sum"))
-
-
-@query()
-def component_sizes_whole(spark, d):
-    return it.component_sizes(fx.all_cc_edges(spark, d))
-
-
-@query()
-def reachability_counters_whole(spark, d):
-    return it.reachability_counters(fx.all_pr_edges(spark, d)).select("id", "reachable")
-
-
 # co-occurrence
 
 
@@ -328,6 +304,15 @@ def tracker_conditional_probability(spark, d):
     return co.conditional_probability(co.pair_counts(sites, "third_party"), 0.05).select("row", "col", _r("p"))
 
 
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", """SELECT r.k AS i, k.k AS j, round(coalesce(a.c / y.c, 0), 8) AS p FROM names r CROSS JOIN names k
+  LEFT JOIN c a ON a.i = r.x AND a.j = k.x LEFT JOIN c y ON y.i = k.x AND y.j = k.x""").replace("c AS MATERIALIZED", """names AS (SELECT third_party AS x, CAST(row_number() OVER (ORDER BY third_party) - 1 AS INTEGER) AS k
+  FROM (SELECT DISTINCT third_party FROM labels_tp WHERE category IN ('Advertising','Beacon'))), c AS MATERIALIZED""", 1))
+def tracker_probability_table(spark, d):
+    labels = fx.labels_tp(spark, d).where(F.col("category").isin("Advertising", "Beacon"))
+    sites = co.labelled_sites(fx.third_party_long(spark, d), labels, ("Advertising", "Beacon"), "third_party")
+    return co.probability_table(co.pair_counts(sites, "third_party"), labels).select("i", "j", _r("p"))
+
+
 @query(_pairs_sql("third_party", "'Advertising','Beacon'", """SELECT r.x AS row, k.x AS col, round((coalesce(a.c, 0) / y.c) / (z.c / n), 6) AS lift FROM names r CROSS JOIN names k CROSS JOIN n
   LEFT JOIN c a ON a.i = r.x AND a.j = k.x JOIN c y ON y.i = k.x AND y.j = k.x JOIN c z ON z.i = r.x AND z.j = r.x""").replace("c AS MATERIALIZED", "names AS (SELECT DISTINCT x FROM sites), c AS MATERIALIZED"))
 def tracker_lift(spark, d):
@@ -336,6 +321,23 @@ def tracker_lift(spark, d):
     return co.lift(co.pair_counts(sites, "third_party"), labels, _orders(spark, d)).select("row", "col", _r("lift", 6))
 
 
+_T = "CASE WHEN greatest(mi, mj) < 2 OR phi * phi >= 1 THEN 'nan'::DOUBLE ELSE phi * sqrt(greatest(mi, mj) - 2) / sqrt(1 - phi * phi) END"
+_PHI = "CASE WHEN mi * mj * (n - mi) * (n - mj) <= 0 THEN 'nan'::DOUBLE ELSE (n * c - mi * mj) / sqrt(mi * mj * (n - mi) * (n - mj)) END"
+
+
+@query(_pairs_sql("company", "'Advertising','Beacon','Analytics'", f"""SELECT i, j, round(t, 6) AS weight FROM (SELECT *, {_T} AS t FROM (SELECT *, {_PHI} AS phi FROM s, n))
+  WHERE c > 6 AND t > 0.5 AND NOT isnan(t)"""))
+def company_cooccurrence_edges(spark, d):
+    found = co.company_cooccurrence(fx.third_party_long(spark, d), fx.labels_tp(spark, d), _orders(spark, d), t=0.5)
+    return found.select("i", "j", _r("weight", 6))
+
+
+@query(_pairs_sql("third_party", "'Advertising','Beacon'", f"SELECT i, j, round(w, 5) AS weight FROM (SELECT i, j, {_root_llr_sql('c', 'mi - c', 'mj - c', 'n - mi - mj + c')} AS w FROM s, n) WHERE w > 15"))
+def tracker_cooccurrence_edges(spark, d):
+    found = co.tracker_cooccurrence(fx.third_party_long(spark, d), fx.labels_tp(spark, d), _orders(spark, d))
+    return found.select("i", "j", _r("weight", 5))
+
+
 @query(with_views("labels_tp", """SELECT company AS id, company AS label, round(ln(sum(occurrences)), 8) AS value FROM labels_tp
   WHERE category IN ('Advertising','Beacon','Analytics') AND company IS NOT NULL GROUP BY 1"""))
 def company_nodes(spark, d):
@@ -421,14 +423,34 @@ def encode_graph_edges(spark, d):
 
 @query(r"SELECT page_id, regexp_extract(url, '([a-z0-9-]+\.example\.(?:com|net|org)|example\.(?:com|net|org))(?:/|$)', 1) AS host, regexp_extract(url, '(example\.(?:com|net|org))(?:/|$)', 1) AS domain FROM pages")
 def parsed_pages_hosts(spark, d):
-    host = F.pandas_udf(lambda urls: urls.map(lambda u: ".".join((extract_host(u) or "").split(".")[-3:])), "string")
-    return fx.table(spark, d, "pages").select("page_id", host("url").alias("host"), private_domain_column(F.col("url")).alias("domain"))
+    host = F.substring_index(F.coalesce(host_column(F.col("url")), F.lit("")), ".", -3)
+    return fx.table(spark, d, "pages").select("page_id", host.alias("host"), private_domain_column(F.col("url")).alias("domain"))
 
 
-@query("SELECT page_id, CAST(0 AS BIGINT) AS resources FROM pages")
+@query(r"""SELECT page_id, [regexp_extract(url, '://([^/?#:]+)', 1), 'cdn' || page_id % 7 || '.example.org', 't' || page_id || '.example.com'] AS hosts, ['IMAGE', 'SCRIPT', 'SCRIPT'] AS types FROM pages""")
 def page_resources(spark, d):
-    """The pages embed nothing from elsewhere: every script's only string is an end tag."""
-    return fx.table(spark, d, "pages").select("page_id", F.size(resources_column(F.col("url"), F.col("html"))).cast("long").alias("resources"))
+    """Every page with an image of its own site and a script whose literals name two more hosts, one of them in a pattern."""
+    script = F.concat(F.lit("<img src='/own.gif'><script>// 'http://no.example.com/'\nvar u = ssl + '"), F.lit("//cdn"), (F.col("page_id") % 7).cast("string"), F.lit(".example.org/x.js'; if (/t"),
+                      F.col("page_id").cast("string"), F.lit("\\.example\\.com/.test(u)) { a = b / c; }</script>"))
+    found = fx.table(spark, d, "pages").select("page_id", resources_column(F.col("url"), F.concat("html", script)).alias("r"))
+    return found.select("page_id", F.transform("r", lambda x: x["url"]).alias("hosts"), F.transform("r", lambda x: x["type"]).alias("types"))
+
+
+_BAD = "CASE WHEN l_linenumber % 4 = 0 THEN 'bad' || l_suppkey ELSE 'supp' || l_suppkey || '.net' END"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT l_orderkey, o_custkey % 10 AS c, {_BAD} AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  SELECT 'INVALID_TRACKED_HOST' AS marker, 'nowhere' || o_custkey AS value, count(*) AS count FROM orders WHERE o_custkey % 10 = 0 GROUP BY 2
+  UNION ALL SELECT 'INVALID_TRACKING_HOST', h, count(*) FROM p WHERE c <> 0 AND h LIKE 'bad%' GROUP BY 2""")
+def problem_log(spark, d):
+    """Pages and hosts without a registrable domain: a tenth of the sites, and the hosts of every fourth line."""
+    host = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("bad"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("supp"), F.col("l_suppkey").cast("string"), F.lit(".net")))
+    lines = fx.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(host).alias("scripts"))
+    orders = fx.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, none = F.col("o_custkey").cast("string"), F.array().cast("array<string>")
+    url = F.when(F.col("o_custkey") % 10 == 0, F.concat(F.lit("nowhere"), key)).otherwise(F.concat(F.lit("http://cust"), key, F.lit(".com/")))
+    parsed = orders.select(url.alias("url"), F.lit(0).cast("long").alias("archive_ms"), "scripts", none.alias("iframes"), none.alias("links"), none.alias("images"))
+    return pg.third_party_rows(parsed)[2]
 
 
 @query("SELECT c_custkey, c_name AS org, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '#' END AS country FROM customer")
