@@ -5,10 +5,11 @@ ending with the assistant. A raw sequence of turns is repaired by dynamic progra
 taken as it is, relabelled, or merged into the turn before it, and empty turns are inserted, at the least total cost; ties
 go to the earlier option in that order. The repaired sequence is rendered with a template.
 
-Conversations are cut into segments of consecutive turn numbers, so that one with a third of all turns is many groups. A
-segment's dynamic program is a 4 x 4 matrix of least costs from state to state; these matrices (one for each ``segment``
-turns) are chained to find the state at every cut, and then each segment is repaired and written on its own. Conversations
-within one segment, the usual case, need none of this. The segments' texts, joined in order, are the conversation's.
+The result is a row for each raw turn with its piece of the rendered conversation, never a row for a conversation, which may
+hold a third of all turns. Conversations of more than ``segment`` turns are cut into segments by position: they are sorted over
+ranges, each segment's least costs from state to state (a 4 x 4 matrix) are chained to give the costs at every cut, each
+segment then says which state before it leads to which after it, and chained backwards these give the path. Costs at the cuts
+are those of the whole, and so are all ties: where a conversation is cut never shows.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embedmesh.llm.common import parts
 from embedmesh.plans.storage import saved
 
 ROLES = ("system", "user", "assistant")
@@ -79,6 +82,7 @@ def _steps(costs: Costs) -> tuple[list, list]:
 
 class Repair:
     def __init__(self, costs: Costs = Costs()):
+        self.costs = costs
         self.moves, self.ends = _steps(costs)
 
     def matrix(self, seen: list[int]) -> list[list[int]]:
@@ -94,24 +98,9 @@ class Repair:
             out.append(cost)
         return out
 
-    def cuts(self, matrices: list[list[list[int]]]) -> list[int]:
-        """The state before each run and after the last, of a path of least cost through all runs and the end."""
-        cost, back = [0, _INFINITE, _INFINITE, _INFINITE], []
-        for m in matrices:
-            best = [min((cost[a] + m[a][b], a) for a in range(4)) for b in range(4)]
-            back.append([a for _, a in best])
-            cost = [c for c, _ in best]
-        state = min((cost[s] + c, k, s) for k, (s, c, _) in enumerate(self.ends))[2]
-        path = [state]
-        for own in reversed(back):
-            state = own[state]
-            path.append(state)
-        return path[::-1]
-
-    def plan(self, seen: list[int], entry: int = START, leave: int | None = None) -> tuple[int, list[tuple[tuple[int, ...], int]], tuple[int, ...]]:
-        """(cost, for each turn the roles inserted before it and the role it is written as, -1: merged; roles inserted at
-        the end). seen: known_role of each turn. leave: the state to end in; None: the conversation ends here."""
-        cost = [0 if s == entry else _INFINITE for s in range(4)]
+    def ahead(self, seen: list[int], cost: list[int]) -> tuple[list[int], np.ndarray]:
+        """Least costs of the states after all turns, from those before the first; and the move by which each is reached
+        (the first in order, of equal ones)."""
         back = np.zeros((len(seen), 4), np.uint8)
         for t, role in enumerate(seen):
             new = [_INFINITE] * 4
@@ -120,56 +109,60 @@ class Repair:
                     new[b] = cost[a] + c
                     back[t, b] = k
             cost = new
-        total, _, state, tail = min((cost[s] + c, k, s, x) for k, (s, c, x) in enumerate(self.ends)) if leave is None else (cost[leave], 0, leave, ())
+        return cost, back
+
+    def before(self, seen: list[int], back: np.ndarray, state: int) -> int:
+        """The state before the first turn of the path to that after the last."""
+        for t in range(len(seen) - 1, -1, -1):
+            state = self.moves[seen[t]][back[t, state]][0]
+        return state
+
+    def end(self, cost: list[int]) -> tuple[int, int, tuple[int, ...]]:
+        """(least total cost, last state, roles inserted after it)"""
+        total, _, state, tail = min((cost[s] + c, k, s, x) for k, (s, c, x) in enumerate(self.ends))
+        return total, state, tail
+
+    def plan(self, seen: list[int], cost: list[int] | None = None, leave: int | None = None) -> tuple[int, list[tuple[int, tuple[int, ...], int]], tuple[int, ...]]:
+        """(cost, for each turn its cost, the roles inserted before it and the role it is written as, -1: merged; roles
+        inserted at the end). seen: known_role of each turn. cost: of the states before; None: the conversation begins here.
+        leave: the state to end in; None: the conversation ends here."""
+        costs, back = self.ahead(seen, cost or [0, _INFINITE, _INFINITE, _INFINITE])
+        total, state, tail = self.end(costs) if leave is None else (costs[leave], leave, ())
         path = []
         for t in range(len(seen) - 1, -1, -1):
-            a, _, _, inserted, role = self.moves[seen[t]][back[t, state]]
-            path.append((inserted, role))
-            state = a
+            state, _, c, inserted, role = self.moves[seen[t]][back[t, state]]
+            path.append((c, inserted, role))
         return total, path[::-1], tail
 
-    def apply(
-        self, turns: list[tuple[str | None, str | None]], joint: str = "\n\n", entry: int = START, leave: int | None = None
-    ) -> tuple[int, list[tuple[str, str]], dict[str, int]]:
-        """(cost, repaired turns, how many turns were relabelled, merged and inserted). What is merged into the turn before
-        the first one comes as a turn with an empty role."""
-        seen = [known_role(r) for r, _ in turns]
-        total, path, tail = self.plan(seen, entry, leave)
-        done: list[tuple[str, list[str]]] = []
-        counts = {"relabelled": 0, "merged": 0, "inserted": len(tail)}
-        for (inserted, role), own, (_, text) in zip(path, seen, turns, strict=True):
-            counts["inserted"] += len(inserted)
-            done += [(ROLES[r], []) for r in inserted]
-            if role < 0:
-                counts["merged"] += 1
-                if not done:
-                    done.append(("", []))
-            else:
-                counts["relabelled"] += role != own
-                done.append((ROLES[role], []))
-            done[-1][1].append(text or "")
-        done += [(ROLES[r], []) for r in tail]
-        return total, [(r, joint.join(x for x in parts if x)) for r, parts in done], counts
-
-
-def render(turns: list[tuple[str, str]], template: Template = Template(), joint: str = "\n\n", first: bool = True, last: bool = True) -> str:
-    """The turns of a conversation, or of a segment of one: a turn is closed where the next one begins, or at the last end.
-    The marks of the template can't be forged by a text: a zero-width joiner parts them."""
-    marks = [template.before.format(role=r).strip() for r in ROLES] + [template.after.strip()]
-    out = []
-    for k, (role, text) in enumerate(turns):
+
+def written(
+    repair: Repair, template: Template, joint: str, turns: list[tuple], place: int = 0, cost: list[int] | None = None, leave: int | None = None
+) -> Iterator[tuple]:
+    """(place, turn, role, action, inserted, cost, piece) of each (turn, role, text) of a conversation, or of a segment of one:
+    the pieces of all its turns, joined in order, are the rendered conversation. A turn is closed where the next one begins,
+    or at the last end. A text that is merged follows the joint, if it isn't empty. The marks of the template can't be forged
+    by a text: a zero-width joiner parts them."""
+    marks = [x for x in (*(template.before.format(role=r).strip() for r in ROLES), template.after.strip()) if x]
+    seen = [known_role(r) for _, r, _ in turns]
+    _, path, tail = repair.plan(seen, cost, leave)
+    for k, ((turn, _, text), own, (paid, inserted, role)) in enumerate(zip(turns, seen, path, strict=True)):
+        text = text or ""
         for mark in marks:
-            if mark and mark in text:
+            if mark in text:
                 text = text.replace(mark, mark[0] + "\u200d" + mark[1:])
-        if not role:
-            out.append(joint + text if text else "")
-        else:
-            out.append(("" if first and not k else template.after) + template.before.format(role=role) + text)
-    return "".join(out) + (template.after if last and (turns or not first) else "")
+        opened = [ROLES[r] for r in (*inserted, *([role] if role >= 0 else []))]
+        piece = "".join(("" if not place + k and not j else template.after) + template.before.format(role=r) for j, r in enumerate(opened))
+        piece += text if role >= 0 else joint + text if text else ""
+        more, last = len(inserted), leave is None and k == len(turns) - 1
+        if last:
+            piece += "".join(template.after + template.before.format(role=ROLES[r]) for r in tail) + template.after
+            more, paid = more + len(tail), paid + repair.costs.insert * len(tail)
+        yield place + k, turn, ROLES[role] if role >= 0 else None, "merged" if role < 0 else "kept" if role == own else "relabelled", more, paid, piece
 
 
-_FIELDS = "conv_id long, segment long, n_turns long, n_repaired long, relabelled long, merged long, inserted long, cost long, roles string, formatted string"
+_FIELDS = "conv_id long, place long, turn long, role string, action string, inserted long, cost long, piece string"
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+_SEGMENT = ["conv_id", "part", "block"]
 
 
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -188,13 +181,6 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[t
         yield now, held
 
 
-def _written(repair: Repair, template: Template, joint: str, conv, number: int, turns: list[tuple], entry: int, leave: int | None, first: bool) -> tuple:
-    cost, repaired, counts = repair.apply(turns, joint, entry, leave)
-    written = [r for r, _ in repaired if r]
-    text = render(repaired, template, joint, first, leave is None)
-    return (conv, number, len(turns), len(written), counts["relabelled"], counts["merged"], counts["inserted"], cost, "".join(r[0] for r in written), text)
-
-
 def _frames(rows: Iterator[tuple], names: list[str], ids: list[str]) -> Iterator[pd.DataFrame]:
     held = []
     for row in rows:
@@ -206,60 +192,121 @@ def _frames(rows: Iterator[tuple], names: list[str], ids: list[str]) -> Iterator
         yield pd.DataFrame(held, columns=names).astype({k: "Int64" for k in ids})
 
 
-def format_chats(turns: DataFrame, costs: Costs = Costs(), template: Template = Template(), joint: str = "\n\n", segment: int = 2048) -> DataFrame:
-    """(conv_id, segment, n_turns, n_repaired, relabelled, merged, inserted, cost, roles, formatted): one row for each
-    conversation, or for each run of ``segment`` turn numbers of a longer one (segments count from 0).
+def format_chats(
+    turns: DataFrame, costs: Costs = Costs(), template: Template = Template(), joint: str = "\n\n", segment: int = 4096, broadcast_ids: int = 500_000
+) -> DataFrame:
+    """(conv_id, place, turn, role, action, inserted, cost, piece): a row for each turn, numbered from 0 in its conversation.
+    action: kept, relabelled or merged (role is null then); inserted: empty turns before it, and for the last turn after it;
+    piece: its part of the rendered conversation, with all turns inserted.
 
-    turns: (conv_id, turn, role, text), read in the order of turn, then role and text; null numbers come before 0. Unknown or null roles are
-    relabelled cheaply; null texts are empty. Turns that are repeated (same number, role and text) are turns like others and
-    merge. A null conv_id is one conversation. Empty table: no rows. Extra columns are left out.
+    turns: (conv_id, turn, role, text), read in the order of turn, then role and text; null numbers come before 0. Unknown or
+    null roles are relabelled cheaply; null texts are empty. Turns that are repeated (same number, role and text) are turns
+    like others and merge. Null ids are one conversation. Empty table: no rows. Extra columns are left out.
     """
-    own = turns.select(
-        F.col("conv_id").cast("long"), F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)).cast("long").alias("run"), F.col("turn"), F.col("role").cast("string"), F.col("text").cast("string")
-    )
-    # compared with nulls as equal
-    spans = own.groupBy("conv_id").agg(F.min("run").alias("least"), F.max("run").alias("most"))
-    long = saved(spans.where("least <> most").select(F.col("conv_id").alias("long_id"), F.lit(True).alias("cut")))
+    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    order = ["turn", "role", "text"]
+    long = saved(own.groupBy("conv_id").count().where(F.col("count") > segment).select(F.col("conv_id").alias("long_id"), F.lit(True).alias("cut")))
     n = long.count()
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(costs)
-        rows = (_written(repair, template, joint, key[0], 0, held, START, None, True) for key, held in _groups(frames, ["conv_id"]))
-        return _frames(rows, _NAMES, ["conv_id"])
+        rows = ((key[0], *row) for key, held in _groups(frames, ["conv_id"]) for row in written(repair, template, joint, held))
+        return _frames(rows, _NAMES, ["conv_id", "turn"])
+
+    if not n:
+        return own.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInPandas(whole, _FIELDS)
+    marked = own.join(F.broadcast(long) if n <= broadcast_ids else long, own.conv_id.eqNullSafe(long.long_id), "left").drop("long_id")
+    short = marked.where("cut is null").drop("cut").repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInPandas(whole, _FIELDS)
+    return short.unionByName(_in_segments(marked.where("cut").drop("cut"), order, costs, template, joint, segment))
+
+
+def _in_segments(runs: DataFrame, order: list[str], costs: Costs, template: Template, joint: str, segment: int) -> DataFrame:
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, conv, at = TaskContext.get().partitionId(), object(), 0
+        for frame in frames:
+            ids = frame["conv_id"].astype("Int64").astype(object).where(frame["conv_id"].notna(), None).tolist()
+            blocks, places = [], []
+            for x in ids:
+                if x != conv:
+                    conv, at = x, 0
+                blocks.append(at // segment)
+                places.append(at)
+                at += 1
+            yield frame.assign(part=part, block=blocks, at=places).astype({"conv_id": "Int64", "turn": "Int64"})
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(costs)
-        rows = ((*key, [x for r in repair.matrix([known_role(r) for r, in held]) for x in r]) for key, held in _groups(frames, ["conv_id", "run"]))
-        return _frames(rows, ["conv_id", "run", "matrix"], ["conv_id", "run"])
+        rows = ((*key, len(held), [x for r in repair.matrix([known_role(r) for r, in held]) for x in r]) for key, held in _groups(frames, _SEGMENT))
+        return _frames(rows, [*_SEGMENT, "n", "matrix"], ["conv_id"])
 
-    def chained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for (conv,), held in _groups(frames, ["conv_id"]):
+                cost, place = [0, _INFINITE, _INFINITE, _INFINITE], 0
+                for part, block, n, matrix in held:
+                    yield conv, part, block, place, cost
+                    m = np.asarray(matrix).reshape(4, 4).tolist()
+                    cost, place = [min(min(cost[a] + m[a][b] for a in range(4)), _INFINITE) for b in range(4)], place + n
+
+        return _frames(rows(), [*_SEGMENT, "place", "entry"], ["conv_id"])
+
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(costs)
 
         def rows() -> Iterator[tuple]:
-            for key, held in _groups(frames, ["conv_id"]):
-                states = repair.cuts([np.asarray(m).reshape(4, 4).tolist() for _, m in held])
-                for k, (run, _) in enumerate(held):
-                    yield (key[0], run, k, states[k], states[k + 1] if k + 1 < len(held) else None)
+            for key, held in _groups(frames, [*_SEGMENT, "place"]):
+                entry, seen = [int(x) for x in held[0][0]], [known_role(r) for _, r in held]
+                after, back = repair.ahead(seen, entry)
+                yield (*key, entry, after, [repair.before(seen, back, s) for s in range(4)])
 
-        return _frames(rows(), ["state_id", "state_run", "segment", "entry", "leave"], ["state_id", "state_run", "segment", "entry", "leave"])
+        return _frames(rows(), [*_SEGMENT, "place", "entry", "after", "came"], ["conv_id"])
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def backward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(costs)
 
         def rows() -> Iterator[tuple]:
-            for (conv, _, number, entry, leave), held in _groups(frames, ["conv_id", "run", "segment", "entry", "leave"]):
-                yield _written(repair, template, joint, conv, number, held, entry, leave, number == 0)
+            for (conv,), held in _groups(frames, ["conv_id"]):
+                state, leave = repair.end([int(x) for x in held[0][4]])[1], None
+                for part, block, place, entry, _, came in held:  # the last segment comes first
+                    yield conv, part, block, place, entry, leave
+                    state = leave = int(came[state])
 
-        return _frames(rows(), _NAMES, ["conv_id"])
+        return _frames(rows(), [*_SEGMENT, "place", "entry", "leave"], ["conv_id", "leave"])
 
-    order = ["turn", "role", "text"]
-    if not n:
-        return own.repartition("conv_id").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "role", "text").mapInPandas(whole, _FIELDS)
-    marked = own.join(long, own.conv_id.eqNullSafe(long.long_id), "left").drop("long_id")
-    short = marked.where("cut is null").drop("cut").repartition("conv_id").sortWithinPartitions("conv_id", "run", *order)
-    runs = marked.where("cut").drop("cut")
-    made = runs.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "run", "role").mapInPandas(matrices, "conv_id long, run long, matrix array<long>")
-    states = made.repartition("conv_id").sortWithinPartitions("conv_id", "run").mapInPandas(chained, "state_id long, state_run long, segment long, entry long, leave long")
-    known = runs.join(states, runs.conv_id.eqNullSafe(states.state_id) & (runs.run == states.state_run))
-    placed = known.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order).select("conv_id", "run", "segment", "entry", "leave", "role", "text")
-    return short.select("conv_id", "role", "text").mapInPandas(whole, _FIELDS).unionByName(placed.mapInPandas(cut, _FIELDS))
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repair = Repair(costs)
+
+        def rows() -> Iterator[tuple]:
+            for (conv, _, _, place, leave), held in _groups(frames, [*_SEGMENT, "place", "leave"]):
+                entry = [int(x) for x in held[0][0]]
+                yield from ((conv, *row) for row in written(repair, template, joint, [x[1:] for x in held], place, entry, leave))
+
+        return _frames(rows(), _NAMES, ["conv_id", "turn"])
+
+    key = "conv_id long, part long, block long"
+    spark = runs.sparkSession
+    # equal rows only can't be parted by the ranges; a segment is still no longer than ``segment``
+    rows = saved(runs.repartitionByRange(parts(spark), "conv_id", *order).sortWithinPartitions("conv_id", *order).mapInPandas(numbered, "conv_id long, turn long, role string, text string, part long, block long, at long"))
+
+    def by_segment(df: DataFrame, *columns: str) -> DataFrame:
+        return df.repartition(*_SEGMENT).sortWithinPartitions(*_SEGMENT, "at").select(*_SEGMENT, *columns)
+
+    def with_segments(found: DataFrame) -> DataFrame:
+        other = found.withColumnsRenamed({c: f"s_{c}" for c in _SEGMENT})
+        same = rows.conv_id.eqNullSafe(other.s_conv_id) & (rows.part == other.s_part) & (rows.block == other.s_block)
+        return rows.join(other, same).drop(*[f"s_{c}" for c in _SEGMENT])
+
+    made = by_segment(rows, "role").mapInPandas(matrices, f"{key}, n long, matrix array<long>")
+    ahead = made.repartition("conv_id").sortWithinPartitions(*_SEGMENT).mapInPandas(forward, f"{key}, place long, entry array<long>")
+    ways = by_segment(with_segments(saved(ahead)), "place", "entry", "role").mapInPandas(mapped, f"{key}, place long, entry array<long>, after array<long>, came array<long>")
+    path = ways.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part"), F.desc("block")).mapInPandas(backward, f"{key}, place long, entry array<long>, leave long")
+    return by_segment(with_segments(saved(path)), "place", "leave", "entry", "turn", "role", "text").mapInPandas(pieces, _FIELDS)
+
+
+def summary(pieces: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, written, relabelled, merged, inserted, cost) of each conversation."""
+    count = lambda action: F.count(F.when(F.col("action") == action, 1))
+    return pieces.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), (F.count("*") - count("merged") + F.sum("inserted")).alias("written"), count("relabelled").alias("relabelled"), count("merged").alias("merged"),
+        F.sum("inserted").alias("inserted"), F.sum("cost").alias("cost"),
+    )

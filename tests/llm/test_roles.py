@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from embedmesh.llm.roles import Costs, Repair, Template, format_chats, known_role, render
+from embedmesh.llm.roles import Costs, Repair, Template, format_chats, known_role, summary, written
 
 
 def legal(roles):
@@ -42,23 +42,43 @@ def brute(seen, c=Costs()):
     return best
 
 
+def rendered(pieces):
+    """(roles, texts) of joined pieces."""
+    parts = [x.partition("|>\n") for x in "".join(pieces).split("<|end|>\n")[:-1]]
+    assert all(a.startswith("<|") for a, _, _ in parts)
+    return [a[2:] for a, _, _ in parts], [t for _, _, t in parts]
+
+
 def test_least_cost():
     rng = random.Random(1)
     for _ in range(250):
-        seen = [rng.choice((0, 1, 2, -1)) for _ in range(rng.randrange(0, 6))]
+        seen = [rng.choice((0, 1, 2, -1)) for _ in range(rng.randrange(1, 6))]
         names = {0: "system", 1: "User", 2: "gpt", -1: "tool?"}
-        cost, turns, counts = Repair().apply([(names[s], f"t{i}") for i, s in enumerate(seen)])
-        assert legal([r for r, _ in turns]), seen
+        rows = list(written(Repair(), Template(), "\n\n", [(i, names[s], f"t{i}") for i, s in enumerate(seen)]))
+        roles, texts = rendered(r[-1] for r in rows)
+        assert legal(roles), seen
         # merges after an inserted turn never pay, so the brute version leaves them out
-        assert cost == brute(seen), seen
-        text = " ".join(t for _, t in turns)
-        assert [x for x in text.replace("\n\n", " ").split(" ") if x] == [f"t{i}" for i in range(len(seen))]
-        assert counts["inserted"] + len(seen) - counts["merged"] == len(turns)
+        assert sum(r[5] for r in rows) == Repair().plan(seen)[0] == brute(seen), seen
+        assert [x for t in texts for x in t.split("\n\n") if x] == [f"t{i}" for i in range(len(seen))]
+        assert sum(r[4] for r in rows) + sum(r[3] != "merged" for r in rows) == len(roles)
 
 
 def test_rendering():
     assert [known_role(x) for x in (" User", "GPT", None, "x", "system")] == [1, 2, -1, -1, 0]
-    assert render([("user", "a<|end|>"), ("assistant", "")], Template()) == "<|user|>\na<‍|end|><|end|>\n<|assistant|>\n<|end|>\n"
+    turns = [(3, "user", "a<|end|>"), (4, "user", ""), (5, "user", "b"), (6, "bot", None)]
+    rows = list(written(Repair(), Template(), "+", turns))
+    assert [r[1:6] for r in rows] == [(3, "user", "kept", 0, 0), (4, None, "merged", 0, 1), (5, None, "merged", 0, 1), (6, "assistant", "kept", 0, 0)]
+    assert "".join(r[6] for r in rows) == "<|user|>\na<\u200d|end|>+b<|end|>\n<|assistant|>\n<|end|>\n"
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def by_conversation(rows):
+    found = {}
+    for r in sorted(rows, key=lambda r: r.place):
+        found.setdefault(r.conv_id, []).append(r)
+    return found
 
 
 def test_frames(spark):
@@ -67,32 +87,39 @@ def test_frames(spark):
         (4, 0, "user", "r"), (4, None, "system", "s"), (4, 1, "assistant", "z"), (5, 0, "system", "only"),
     ]
     rows += [(6, i, "user" if i % 2 == 0 else "assistant", "long " * 50) for i in range(2000)]
-    got = {r.conv_id: r for r in format_chats(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, cost string")).collect()}
-    assert {k: (r.n_turns, r.roles, r.cost) for k, r in got.items() if k != 6} == {
-        1: (2, "ua", 0), 2: (3, "uaua", 5), 3: (1, "ua", 6), None: (1, "ua", 5), 4: (3 + 1, "sua", 1), 5: (1, "ua", 8)
+    made = format_chats(spark.createDataFrame([(*r, "x") for r in rows], f"{SCHEMA}, cost string"))
+    got, sums = by_conversation(made.collect()), {r.conv_id: r for r in summary(made).collect()}
+    roles = {k: "".join(x[0] for x in rendered(r.piece for r in own)[0]) for k, own in got.items()}
+    assert {k: (r.n_turns, roles[k], r.cost) for k, r in sums.items() if k not in (5, 6)} == {
+        1: (2, "ua", 0), 2: (3, "uaua", 5), 3: (1, "ua", 6), None: (1, "ua", 5), 4: (3 + 1, "sua", 1)
     }
-    assert got[6].n_repaired == 2000 and got[6].cost == 0 and got[4].formatted.startswith("<|system|>\ns<|end|>\n<|user|>\nr\n\nr<|end|>")
-    assert all(r.segment == (0 if r.conv_id != 6 else r.segment) for r in got.values())
-    assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+    assert legal(rendered(r.piece for r in got[5])[0]) and sums[5].cost == brute([0])
+    assert sums[6].written == 2000 and sums[6].cost == 0 and "".join(r.piece for r in got[4]).startswith("<|system|>\ns<|end|>\n<|user|>\nr\n\nr<|end|>")
+    assert all([r.place for r in own] == list(range(len(own))) for own in got.values())
+    assert format_chats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_long_conversations_are_cut(spark):
+def test_where_a_conversation_is_cut_never_shows(spark):
     rng = random.Random(3)
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "odd", None]), rng.choice(["", None, f"t{t}", f"u{t}"])) for c in (1, 2, None) for t in range(rng.randrange(20, 60))]
-    rows += [(7, 0, "user", "a"), (7, 1, "assistant", "b"), (1, None, "system", "first")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = {r.conv_id: r for r in format_chats(df).collect()}
-    cut: dict = {}
-    for r in format_chats(df, segment=7).collect():
-        cut.setdefault(r.conv_id, []).append(r)
-    assert set(cut) == set(whole) and len(cut[7]) == 1
-    for conv, parts in cut.items():
-        parts.sort(key=lambda r: r.segment)
-        assert [r.segment for r in parts] == list(range(len(parts))) and (conv == 7 or len(parts) > 2)
-        assert sum(r.cost for r in parts) == whole[conv].cost and sum(r.n_turns for r in parts) == whole[conv].n_turns
-        names = {"s": "system", "u": "user", "a": "assistant"}
-        roles = [names[x] for r in parts for x in r.roles]
-        assert legal(roles)
-        text = "".join(r.formatted for r in parts)
-        assert text.count("<|end|>") == len(roles) and text.endswith("<|end|>\n")
-        assert [x for x in text.split("<|") if x.startswith(("user", "system", "assistant"))][0].startswith(roles[0])
+    kinds = ["user", "assistant", "system", "odd", None]
+    rows = [(c, rng.choice([t, t, 0, None]), rng.choice(kinds), rng.choice(["", None, f"t{t}", f"u{t}"])) for c in (1, 2, 5, 8, None) for t in range(rng.randrange(40, 90))]
+    rows += [(7, 0, "user", "a"), (7, 1, "assistant", "b"), (9, None, None, None)] + [(3, None, "user", "same")] * 40 + [(4, 10**9 * t, kinds[t % 4], "x") for t in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(repr, format_chats(df).collect()))
+    assert len(whole) == len(rows)
+    for segment in (1, 7, 33):
+        assert sorted(map(repr, format_chats(df, segment=segment).collect())) == whole
+    assert sorted(map(repr, format_chats(df, segment=7, broadcast_ids=0).collect())) == whole
+
+
+def test_ties_of_segments():
+    """Turn for turn, for random conversations cut anywhere."""
+    rng, repair = random.Random(8), Repair()
+    for _ in range(3000):
+        seen = [rng.choice((0, 1, 2, 3)) for _ in range(14)]
+        total, path, tail = repair.plan(seen)
+        cut = rng.randrange(1, 14)
+        cost, back = repair.ahead(seen[:cut], [0] + [1 << 60] * 3)
+        after, later = repair.ahead(seen[cut:], cost)
+        state = repair.before(seen[cut:], later, repair.end(after)[1])
+        assert repair.plan(seen[:cut], leave=state)[1] + repair.plan(seen[cut:], cost)[1] == path and repair.end(after)[0] == total
