@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from embedmesh.llm.topk import Best, search_block, top_k
+from embedmesh.llm.topk import Best, Turned, search_block, top_k, turn_of
 
 
 def brute(rows, k, asked):
@@ -26,13 +26,38 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, 7, lambda i: i % 20 == 0)
 
 
+def test_repeated_query_ids_cross_no_round(spark):
+    rng = random.Random(4)
+    rows = [(i // 3, [float(np.float32(rng.gauss(0, 1))) for _ in range(6)]) for i in range(18)] + [(0, [1.0] * 6)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = brute(rows, 4, lambda i: i % 2 == 0)
+    for size in (1, 4, 100):
+        assert sorted(map(tuple, top_k(df, df.where("vec_id % 2 = 0"), k=4, round_queries=size, step=2, probe=2).collect())) == want
+
+
 def test_large_values_stay_exact():
     q = np.array([[1 << 40, 3], [5, -(1 << 20)]])
     c = np.array([[1 << 20, 7, 1], [1, 1 << 30, -9]])
-    best = Best(2, 3)
-    search_block(best, 0, q, np.array([100, 101]), c, np.array([0, 1, 2]), step=1)
-    want = q @ c
-    assert [sorted(r, reverse=True) for r in want.tolist()] == best.scores.tolist()
+    for turn in (np.eye(2), turn_of(c.T, 2)):
+        best = Best(2, 3)
+        search_block(best, 0, Turned(q, turn), np.array([100, 101]), Turned(c.T, turn), np.array([0, 1, 2]), step=1)
+        want = q @ c
+        assert [sorted(r, reverse=True) for r in want.tolist()] == best.scores.tolist()
+
+
+def test_pairs_are_pruned():
+    """Vectors whose mass lies in few directions, which no single component shows."""
+    rng = np.random.default_rng(1)
+    base = np.linalg.qr(rng.normal(size=(64, 64)))[0] * 0.7 ** np.arange(64)
+    x = np.floor(64 * 8 * rng.normal(size=(3000, 64)) @ base.T).astype(np.int64)
+    turned, best, shares = Turned(x, turn_of(x[:500], 64)), Best(50, 10), []
+    for at in range(0, 3000, 500):
+        shares = []
+        search_block(best, 0, turned[:50], np.arange(50), turned[at : at + 500], np.arange(at, at + 500), shares=shares)
+    assert shares[0] < 0.1
+    scores = x[:50] @ x.T
+    scores[np.arange(50), np.arange(50)] = np.iinfo(np.int64).min
+    assert np.array_equal(best.scores, np.sort(scores, 1)[:, ::-1][:, :10])
 
 
 def test_empty(spark):
