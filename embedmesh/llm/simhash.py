@@ -475,24 +475,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float,
     return both.select("src", "target", "a", "b").mapInArrow(_alike(similarity), "src long, target long")
 
 
+def tables_for(n: int, similarity: float, recall: float, bucket: int, least_bits: int = 16) -> tuple[int, int]:
+    """(tables, bits of a key) for n fingerprints: so many bits that ``bucket`` unrelated ones share a key at most, and so many
+    tables that a pair at the similarity meets in one with the chance ``recall``."""
+    bits = max(least_bits, math.ceil(math.log2(max(1, n) / bucket)))
+    meets = (1 - share_of_bits(similarity)) ** bits
+    return math.ceil(math.log(1 - recall) / math.log1p(-meets)), bits
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, carried: int = 2, tables: int = 48, key_bits: int = 16, block: int = 20_000, broadcast_keys: int = 500_000
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 8, carried: int = 2, recall: float = 0.973, bucket: int = 256, block: int = 20_000, broadcast_keys: int = 500_000
 ) -> DataFrame:
     """(doc_id, component_id): components of documents whose sets of ``width``-word shingles have a Jaccard similarity of
     ``similarity`` or more. Every link is decided on the sets themselves; 64 * words bits only choose what is compared.
 
-    Candidates share ``key_bits`` sampled bits in one of ``tables`` tables and are near in the first ``carried`` words
-    (four standard deviations over the expectation at ``similarity``) and in all words (three). A bucket gives all of its
+    Candidates share the sampled bits of one of the tables and are near in the first ``carried`` words (four standard
+    deviations over the expectation at ``similarity``) and in all words (three). Bits and tables follow the number of
+    fingerprints (see tables_for), so that neither the work a document nor the recall changes with the size: 16 bits in 48
+    tables up to 16 million, then a bit more with every doubling. A bucket gives all of its
     candidates. One that is dense gives a forest first; then, of the components of what was verified so far, all its
-    candidates between different ones. So no link depends on another that fails. A pair at 0.8 meets in some table
-    in 97 of 100 cases, one at 0.9 practically always. Nulls, ties and empty tables as in simhash_components.
+    candidates between different ones. So no link depends on another that fails. A pair at ``similarity``
+    meets in some table in ``recall`` of the cases, one at 0.9 practically always. Nulls, ties and empty tables as in simhash_components.
     """
     p = share_of_bits(similarity)
     far = lambda bits, sd: round(bits * p + sd * math.sqrt(bits * p * (1 - p)))
     cuts = Cuts(carried, far(64 * carried, 4), far(64 * words, 3), far(64 * words, -1))
-    keys = sampled_keys(tables, key_bits, 64 * words)
     own = saved(_set_table(docs, width, seed, words))
     prints = saved(own.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep")))
+    keys = sampled_keys(*tables_for(prints.count(), similarity, recall, bucket), 64 * words)
     known = prints.where("rep is not null").select("rep", "fp")
     keyed = known.mapInArrow(_key_rows(keys, words), "key long, rep long, fp binary")
     found = saved(_cells(keyed, block, broadcast_keys).mapInArrow(_candidates_of_buckets(cuts), "src long, target long").distinct())
