@@ -35,9 +35,9 @@ _MASK = (1 << 64) - 1
 #: The longest unit that is merged along with others.
 _LONG = 48
 #: Characters of texts, units, and traced candidates that are worked on at a time.
-_CHUNK = 3 << 20
+_CHUNK = 1 << 20
 _UNITS = 1 << 14
-_TRACED = 1 << 19
+_TRACED = 1 << 18
 #: The rank of what can't merge.
 NONE = np.iinfo(np.int32).max
 
@@ -418,10 +418,10 @@ def codec(path: str, seed: int, rate: float) -> Codec:
     return Codec(path, seed, rate)
 
 
-def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: str = "doc_id", with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """docs and the columns piece_ids array<int> (if with_ids), n_pieces long, ids_crc32 long (of the ids as little-endian
     unsigned 32-bit numbers) and lossless boolean (whether they decode to the very text); columns of those names are
-    replaced.
+    replaced. keep: the columns of docs that come back from the workers; None: all.
 
     Null or empty text: no ids, lossless. A null key counts as 0. Repeated rows get equal ids. Empty table: no rows. rate 0
     gives the model's own best segmentation, rate 1 single characters.
@@ -430,7 +430,8 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: st
     if with_ids:
         made.add("piece_ids", T.ArrayType(T.IntegerType()))
     own = docs.drop(*made.names)
-    plain = own.schema
+    keep = [c for c in own.columns if keep is None or c in keep]
+    plain = T.StructType([own.schema[c] for c in keep])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, seed, rate)
@@ -439,7 +440,7 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: st
             for texts in in_blocks(batch.column("text"), _CHUNK):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                keys = part.column(part.num_columns - 1).to_pylist()
+                keys = part.column("_key").to_pylist()
                 found = c.encode_many(texts, keys)
                 columns = [
                     pa.array(list(map(len, found)), pa.int64()),
@@ -449,9 +450,9 @@ def encode(docs: DataFrame, path: str, seed: int = 1, rate: float = 0.1, key: st
                 if with_ids:
                     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*plain.names, *made.names])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), *columns], [*keep, *made.names])
 
-    keyed = own.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    keyed = own.select(*dict.fromkeys([*keep, "text"]), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"))
     return keyed.mapInArrow(work, T.StructType([*plain.fields, *made.fields]))
 
 

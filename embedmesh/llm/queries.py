@@ -30,7 +30,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mergedrop(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = mergedrop.encode(docs, model or public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1, with_ids=False)
+    found = mergedrop.encode(docs, model or public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1, with_ids=False, keep=["doc_id"])
     return found.select("doc_id", "n_pieces", "ids_crc32", "lossless")
 
 
