@@ -22,8 +22,10 @@ MIN_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (or text), those that look like no learned language, and those for which every
-    language scores under MIN_SCORE."""
+    language scores under MIN_SCORE. Where no document has a label there is nothing to learn, and all with a letter stay."""
     model = langid.fit(docs.where(~langid.held_out()), reject=True)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
     return kept.drop("lang_pred", "score").withColumnsRenamed({f"own_{c}": c for c in docs.columns if c in ("lang_pred", "score")}).select(*docs.columns)
@@ -41,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids with seeded merge dropout, and whether they decode to the very text."""
-    found = mergedrop.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1)
+    found = mergedrop.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1, keep=["doc_id"])
     return found.select("doc_id", "n_pieces", "ids_crc32", "lossless", "piece_ids")
 
 

@@ -71,3 +71,13 @@ def test_one_of_each(spark):
 
 def test_model_is_none_without_labels(spark):
     assert langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "no id here", None), (None, "no id here", None), (2, "no label here", None), (2, "no label here", None), (3, None, None), (4, "...", None)]])
+def test_empty_tables_null_ids_and_no_labels(spark, tmp_path, rows):
+    """Without labels all documents with a letter stay; rows of a null id stay unless their text has an id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame([(i, t, x, "s", 1, "extra") for i, t, x in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.lossless) for r in got) == ([(-1, True), (-1, True), (2, True)] if rows else [])
