@@ -491,7 +491,7 @@ def near_duplicates(
 
     Candidates share the sampled bits of one of the tables and are near in the first ``carried`` words (four standard
     deviations over the expectation at ``similarity``) and in all words (three). Bits and tables follow the number of
-    fingerprints (see tables_for), so that neither the work a document nor the recall changes with the size: 16 bits in 48
+    fingerprints (see tables_for), so that neither the work a document nor the recall changes with the size: 16 bits in 49
     tables up to 16 million, then a bit more with every doubling. A bucket gives all of its
     candidates. One that is dense gives a forest first; then, of the components of what was verified so far, all its
     candidates between different ones. So no link depends on another that fails. A pair at ``similarity``
