@@ -72,7 +72,8 @@ def top_companies(edges: DataFrame, index: DataFrame, whois: DataFrame, invalid:
     return pairs.groupBy("company").agg(F.count("*").alias("domains")).orderBy(F.desc("domains"), "company")
 
 
-def third_parties_by_pagerank(edges: DataFrame, ranks: DataFrame, index: DataFrame, k: int = 1000) -> DataFrame:
-    """(name, rank_sum): the ranks of the sites that embed each third party. ranks: (id, rank)."""
+def third_parties_by_pagerank(edges: DataFrame, ranks: DataFrame, index: DataFrame, k: int | None = 1000) -> DataFrame:
+    """(name, rank_sum): the ranks of the sites that embed each third party, of the k best or, for None, of all. ranks: (id, rank)."""
     sums = edges.join(ranks, edges.src == ranks.id).groupBy("target").agg(F.sum("rank").alias("rank_sum"))
-    return sums.join(index, sums.target == index.id).select("name", "rank_sum").orderBy(F.desc("rank_sum"), "name").limit(k)
+    named = sums.join(index, sums.target == index.id).select("name", "rank_sum").orderBy(F.desc("rank_sum"), "name")
+    return named if k is None else named.limit(k)
