@@ -5,6 +5,9 @@ shuffle by site, and are counted with partial aggregation. Only i <= j is counte
 
 ``marginals="rowsum"`` takes Mi as the row sum of the pair matrix with its diagonal, as the original analysis did;
 ``"domains"`` the number of sites that have i, the textbook marginal.
+
+Tables of every two labels are their square. The pairs that meet are few of it and come from the counts; the rest is made
+label by label in as many tasks as the square needs, without a join or shuffle of its rows.
 """
 
 from __future__ import annotations
@@ -14,9 +17,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from embedmesh.functions.stats import above, divided, phi, phi_t, root_log_likelihood_ratio
+from embedmesh.plans.ranges import parts
 from embedmesh.plans.storage import saved
 
 FIRST_PARTIES = 41_192_060
+#: Rows of a table of every two labels that one task makes.
+SQUARE_ROWS = 1 << 23
+#: Labels (name, number and count) that are broadcast.
+BROADCAST_LABELS = 1 << 20
 
 
 def pair_counts(sites: DataFrame, what: str) -> DataFrame:
@@ -83,23 +91,51 @@ def conditional_probability(pairs: DataFrame, min_p: float = 0.15) -> DataFrame:
     return cells.join(diagonal, "col").select("row", "col", p.alias("p")).where(above(F.col("p"), min_p))
 
 
+def _numbered(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, number, own): the labels (third_party) by their numbers from 0 in the order of the names, and the sites that have
+    each, null where pairs has none. Written once."""
+    # the list of labels is numbered in one window; what is made of it is its square
+    names = labels.select(F.col("third_party").alias("name")).distinct().withColumn("number", F.row_number().over(W.orderBy("name")) - 1)
+    return saved(names.join(pairs.where("i = j").select(F.col("i").alias("name"), F.col("count").alias("own")), "name", "left"))
+
+
+def _square(pairs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((i, j, count) of the labels that meet; names and j of every other two), by number.
+
+    Only what meets is joined and shuffled. The rest are the gaps between it, made where they are put out from one row a label:
+    a task makes about SQUARE_ROWS of them, so there are as many tasks as the square needs.
+    """
+    left, right = (names.select(F.col("name").alias(x), F.col("number").alias(f"n{x}")) for x in "ij")
+    cells = mirrored(pairs).join(left, "i").join(right, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "count")
+    n = names.count()
+    # round robin: even, and AQE neither merges nor coalesces it, as it would by the few bytes of a row
+    tasks = min(max(1, n), max(parts(names.sparkSession), -(-n * n // SQUARE_ROWS)))
+    met = cells.groupBy(F.col("i").alias("number")).agg(F.sort_array(F.collect_list("j")).alias("met"))
+    rows = names.join(met, "number", "left").withColumn("met", F.coalesce("met", F.array().cast("array<int>"))).repartition(tasks)
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(-1)), "met").alias("after"), F.concat("met", F.array(F.lit(n))).alias("until"))
+    between = rows.select(*names.columns, F.inline(gaps).alias("after", "until")).where("until - after > 1")
+    return cells, between.select(*names.columns, F.explode(F.sequence(F.col("after") + 1, F.col("until") - 1)).alias("j"))
+
+
 def probability_table(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """(i, j, p) for every two labels (third_party) by their numbers from 0 in the order of the names: P(i | j), 1 where they
     are the same and occur, 0 for what never meets or never occurs. A row for each two labels by definition."""
-    # the list of labels is numbered in one window; the result is its square
-    names = labels.select(F.col("third_party").alias("name")).distinct().withColumn("number", F.row_number().over(W.orderBy("name")) - 1)
-    own = names.join(pairs.where("i = j").select(F.col("i").alias("name"), F.col("count").alias("own")), "name", "left")
-    every = names.select(F.col("name").alias("a"), F.col("number").alias("i")).crossJoin(own.select(F.col("name").alias("b"), F.col("number").alias("j"), "own"))
-    cells = mirrored(pairs).select(F.col("i").alias("a"), F.col("j").alias("b"), "count")
-    return every.join(cells, ["a", "b"], "left").select("i", "j", F.coalesce(F.col("count") / F.col("own"), F.lit(0.0)).alias("p"))
+    names = _numbered(pairs, labels)
+    cells, rest = _square(pairs, names)
+    met = cells.join(names.select(F.col("number").alias("j"), "own"), "j").select("i", "j", F.coalesce(F.col("count") / F.col("own"), F.lit(0.0)).alias("p"))
+    return met.unionAll(rest.select("number", "j", F.lit(0.0).alias("p")))
 
 
 def lift(pairs: DataFrame, labels: DataFrame, n: int = FIRST_PARTIES) -> DataFrame:
     """(row, col, lift) for every pair of labels (third_party), also those that never meet: (c[row, col] / c[col, col]) /
     (c[row, row] / n), with 0 / 0 as NaN. The result has a row for each two labels by definition."""
-    diagonal = pairs.where("i = j").select("i", F.col("count").alias("own"))
-    names = labels.select(F.col("third_party").alias("i")).distinct().join(diagonal, "i", "left").select("i", F.coalesce("own", F.lit(0)).alias("own"))
-    every = names.select(F.col("i").alias("row"), F.col("own").alias("row_own")).crossJoin(names.select(F.col("i").alias("col"), F.col("own").alias("col_own")))
-    cells = mirrored(pairs).select(F.col("i").alias("row"), F.col("j").alias("col"), "count")
-    value: Column = divided(divided(F.coalesce("count", F.lit(0)), F.col("col_own")), divided(F.col("row_own"), F.lit(n)))
-    return every.join(cells, ["row", "col"], "left").select("row", "col", value.alias("lift"))
+    names = _numbered(pairs, labels).withColumn("own", F.coalesce("own", F.lit(0)))
+    cells, rest = _square(pairs, names)
+    left, right = (names.select(F.col("number").alias(k), F.col("name").alias(name), F.col("own").alias(f"{k}_own")) for k, name in (("i", "row"), ("j", "col")))
+    # beyond the bound a shuffle; the square of as many labels couldn't be put out
+    right = F.broadcast(right) if names.count() <= BROADCAST_LABELS else right
+    value: Column = divided(divided(F.col("count"), F.col("j_own")), divided(F.col("i_own"), F.lit(n)))
+    met = cells.join(left, "i").join(right, "j").select("row", "col", value.alias("lift"))
+    # what never meets: 0 / 0 if either never occurs, else 0
+    none = F.when((F.col("own") == 0) | (F.col("j_own") == 0), F.lit(float("nan"))).otherwise(F.lit(0.0))
+    return met.unionAll(rest.join(right, "j").select(F.col("name").alias("row"), "col", none.alias("lift")))

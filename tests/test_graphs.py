@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from embedmesh.operators import degrees, encode, iterate, labels, rankings
 from embedmesh.operators import cooccurrence as co
@@ -84,3 +85,20 @@ def test_encoding_follows_the_lines(spark):
     e, added = encode.encode_graph(lines, spark.createDataFrame([("t", 7)], "name string, id long"), last_id=100)
     assert {(r.name, r.id) for r in added.collect()} == {("b", 101), ("a", 102), ("u", 103), ("lone", 104)}
     assert {(r.src, r.target) for r in e.collect()} == {(101, 7), (101, 102), (102, 103)}
+
+
+def test_squares_of_labels_are_spread(spark, monkeypatch):
+    """Tables of every two labels: rows even by task, whatever the shuffle partitions, and equal to what the counts say."""
+    monkeypatch.setattr(co, "SQUARE_ROWS", 2000, raising=False)
+    sites = spark.createDataFrame([(f"s{k}", f"t{(k * m) % 190:03d}") for k in range(60) for m in (1, 7, 31)], "domain string, t string")
+    pairs, names = co.pair_counts(sites, "t"), spark.createDataFrame([(f"t{k:03d}",) for k in range(200)], "third_party string")
+    count = {**{(r.i, r.j): r["count"] for r in pairs.collect()}, **{(r.j, r.i): r["count"] for r in pairs.collect()}}
+    number = {f"t{k:03d}": k for k in range(200)}
+    own = {a: count.get((a, a), 0) for a in number}
+    table, lift = co.probability_table(pairs, names), co.lift(pairs, names, 10)
+    assert {(r.i, r.j): r.p for r in table.collect()} == {(number[a], number[b]): count.get((a, b), 0) / own[b] if own[b] else 0.0 for a in number for b in number}
+    got = {(r["row"], r["col"]): r.lift for r in lift.collect()}
+    assert len(got) == 200 * 200 and all(math.isnan(x) == (not own[a] or not own[b]) for (a, b), x in got.items())
+    assert all(x == pytest.approx(count.get((a, b), 0) / own[b] / (own[a] / 10)) for (a, b), x in got.items() if own[a] and own[b])
+    for whole in (table, lift):
+        assert whole.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2 * 2000
