@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedmesh.functions.domains import private_domain
+from embedmesh.functions.domains import extract_host, private_domain
 from embedmesh.functions.resources import judged_resources
 from embedmesh.functions.suffixes import DEFAULT, Suffixes
 
@@ -51,25 +51,44 @@ def dropped_hosts(pages: DataFrame, suffixes: Suffixes = DEFAULT) -> DataFrame:
 _SITE = "domain string, url string, trackers array<struct<domain:string,script:int,iframe:int,image:int,link:int>>, bad array<string>"
 
 
+#: Pages that are Python objects at a time.
+_PAGES = 1000
+
+
 def _sites(parsed: DataFrame, https_mode: str, suffixes: Suffixes) -> DataFrame:
     """(domain, url, trackers, bad): of each page its registrable domain, the distinct ones of its hosts with a flag by type
-    (without its own), and the hosts that have none."""
+    (without its own), and the hosts that have none. parsed: parsed pages, or (url, html), which are parsed in the same pass."""
+    raw = "html" in parsed.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(1 << 16)
+        @lru_cache(1 << 14)
         def domain(name: str | None) -> str | None:
             return private_domain(name, https_mode, suffixes)
 
+        @lru_cache(1 << 14)
+        def host_of(url: str) -> str | None:
+            return extract_host(url, suffixes)
+
+        def by_type(batch: pa.RecordBatch, urls: list[str | None]) -> Iterator[list[list[str] | None]]:
+            """For each page its hosts by type, in the order of _OF."""
+            if not raw:
+                yield from zip(*(batch.column(n).to_pylist() for n in _OF), strict=True)
+                return
+            for url, page in zip(urls, batch.column("html").to_pylist(), strict=True):
+                own: list[list[str]] = [[], [], [], []]
+                for host, kind in judged_resources(url, page, suffixes, host_of)[0]:
+                    own[_OF[_LISTS[kind]]].append(host)
+                yield own
+
         kind = pa.list_(pa.struct([("domain", pa.string()), *((k, pa.int32()) for k in _KINDS)]))
-        for batch in batches:
+        for batch in (b.slice(at, _PAGES) for b in batches for at in range(0, b.num_rows, _PAGES)):
             urls = batch.column("url").to_pylist()
-            lists = [(at, batch.column(n).to_pylist()) for n, at in _OF.items()]
             domains, trackers, bad = [domain(u) for u in urls], [], []
-            for k, own in enumerate(domains):
+            for own, lists in zip(domains, by_type(batch, urls), strict=True):
                 flags: dict[str, list[int]] = {}
                 odd: dict[str, None] = {}
-                for at, hosts in lists if own is not None else ():
-                    for host in hosts[k] or ():
+                for at, hosts in enumerate(lists) if own is not None else ():
+                    for host in hosts or ():
                         name = domain(host)
                         if name is None:
                             odd[host] = None
@@ -79,7 +98,8 @@ def _sites(parsed: DataFrame, https_mode: str, suffixes: Suffixes) -> DataFrame:
                 bad.append([h for h in odd if h is not None])
             yield pa.RecordBatch.from_arrays([pa.array(domains, pa.string()), batch.column("url"), pa.array(trackers, kind), pa.array(bad, _NAMES)], ["domain", "url", "trackers", "bad"])
 
-    return parsed.select(F.col("url").cast("string"), *_OF).mapInArrow(rows, _SITE)
+    needed = [F.col("html").cast("string")] if raw else list(map(F.col, _OF))
+    return parsed.select(F.col("url").cast("string"), *needed).mapInArrow(rows, _SITE)
 
 
 def _counts(sites: DataFrame) -> DataFrame:
@@ -95,7 +115,8 @@ def third_party_rows(parsed: DataFrame, https_mode: str = "accept", suffixes: Su
     (marker, value, count) of pages and hosts without a registrable domain).
 
     A page counts for its site even if it embeds nothing; third parties of the site's own domain don't count. The three are
-    views of parsed: one that took work is better written first.
+    views of parsed: one that took work is better written first. For one view, parsed can be the pages (url, html) themselves:
+    extraction and aggregation by site then share a pass, and a task one Python worker.
     """
     sites = _sites(parsed, https_mode, suffixes)
     named = sites.where("domain is not null")
@@ -106,7 +127,7 @@ def third_party_rows(parsed: DataFrame, https_mode: str = "accept", suffixes: Su
 
 
 def third_party_table(parsed: DataFrame, https_mode: str = "accept", suffixes: Suffixes = DEFAULT) -> DataFrame:
-    """(domain, num_pages, trackers array<struct>), one row a site, from one pass over parsed."""
+    """(domain, num_pages, trackers array<struct>), one row a site, from one pass over parsed, or over pages (url, html)."""
     tracker = F.struct(F.col("third_party").alias("domain"), *_KINDS)
     return _counts(_sites(parsed, https_mode, suffixes)).groupBy("domain").agg(
         F.sum(F.when(F.col("third_party").isNull(), F.col("pages"))).alias("num_pages"), F.collect_list(F.when(F.col("third_party").isNotNull(), tracker)).alias("trackers")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 SHIFT = 100_000_000
 KINDS = ("script", "iframe", "image", "link")
+PAGES_A_TASK = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +89,12 @@ def synthetic_pages(spark: SparkSession, d: str) -> DataFrame:
     host = F.concat(F.lit("http://cdn.supp"), F.col("l_suppkey").cast("string"), F.lit(".net/x"))
     tags = {0: ('<script src="', '"></script>'), 1: ('<iframe src="', '"></iframe>'), 2: ('<img src="', '">'), 3: ('<link href="', '">')}
     tag = F.coalesce(*[F.when(F.col("l_linenumber") % 4 == i, F.concat(F.lit(a), host, F.lit(b))) for i, (a, b) in tags.items()])
-    # pages are small, but take work: as many partitions as there are cores, which AQE leaves alone
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # pages are small, but take work: a task for each core at least, and for so many pages. Both sides go there, as a join that
+    # broadcasts one leaves the pages in the few splits of the other's file
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // PAGES_A_TASK))
     lines = table(spark, d, "lineitem").select("l_orderkey", tag.alias("tag")).repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list("tag")).alias("body"))
-    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = orders.repartition(n, "o_orderkey").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     url = F.concat(F.lit("http://www.cust"), F.col("o_custkey").cast("string"), F.lit(".com/"), F.col("o_orderkey").cast("string"))
     page = F.concat(F.lit("<html><head><title>order</title></head><body>"), F.coalesce("body", F.lit("")), F.lit("</body></html>"))
     return orders.select(url.alias("url"), F.lit(0).cast("long").alias("archive_ms"), page.alias("html"))

@@ -54,11 +54,13 @@ def parse_third_party_lines(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t")
     rest = F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
 
-    def one(x):
-        own = F.split(F.translate(x, "[]", ""), ",")
+    # split in a step of its own: every mention of it inside one function is worked out again
+    fields = F.transform(rest, lambda x: F.split(F.translate(x, "[]", ""), ","))
+
+    def one(own):
         return F.struct(own[0].alias("domain"), *[own[i + 1].cast("int").alias(n) for i, n in enumerate(("script", "iframe", "image", "link"))])
 
-    return lines.select(parts[0].alias("domain"), F.try_element_at(parts, F.lit(2)).cast("int").alias("num_pages"), F.transform(rest, one).alias("trackers"))
+    return lines.select(parts[0].alias("domain"), F.try_element_at(parts, F.lit(2)).cast("int").alias("num_pages"), F.transform(fields, one).alias("trackers"))
 
 
 def long_third_parties(table: DataFrame) -> DataFrame:
@@ -67,6 +69,14 @@ def long_third_parties(table: DataFrame) -> DataFrame:
     return each.select("domain", "num_pages", F.col("t.domain").alias("third_party"), "t.script", "t.iframe", "t.image", "t.link")
 
 
+def long_third_party_lines(lines: DataFrame) -> DataFrame:
+    """long_third_parties of parse_third_party_lines, without the arrays between: fields are split row by row, in compiled code."""
+    parts = F.split("value", "\t")
+    each = lines.select(parts[0].alias("domain"), F.try_element_at(parts, F.lit(2)).cast("int").alias("num_pages"), F.explode(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))).alias("x"))
+    own = each.where("x <> ''").select("domain", "num_pages", F.split(F.translate("x", "[]", ""), ",").alias("own"))
+    return own.select("domain", "num_pages", F.col("own")[0].alias("third_party"), *[F.col("own")[i + 1].cast("int").alias(n) for i, n in enumerate(("script", "iframe", "image", "link"))])
+
+
 def format_third_party_lines(table: DataFrame) -> DataFrame:
     """(domain, num_pages, trackers) -> value; trackers in the order of their names."""
     each = F.transform(F.array_sort("trackers"), lambda t: F.concat(F.lit("["), F.concat_ws(",", t["domain"], t["script"], t["iframe"], t["image"], t["link"]), F.lit("]")))
