@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from embedmesh.plans.ranges import spread
+from embedmesh.plans.storage import saved
+
 TLDS = ("com", "org", "de", "fr", "ru", "cn", "ir")
 PRIVACY_PROXIES = (
     "DOMAINS BY PROXY, LLC", "WHOISGUARD INC.", "WHOISGUARD, INC.", "CONTACT PRIVACY INC.", "PERFECT PRIVACY, LLC", "WHOIS PRIVACY PROTECTION SERVICE, INC.",
@@ -74,6 +77,7 @@ def top_companies(edges: DataFrame, index: DataFrame, whois: DataFrame, invalid:
 
 def third_parties_by_pagerank(edges: DataFrame, ranks: DataFrame, index: DataFrame, k: int | None = 1000) -> DataFrame:
     """(name, rank_sum): the ranks of the sites that embed each third party, of the k best or, for None, of all. ranks: (id, rank)."""
-    sums = edges.join(ranks, edges.src == ranks.id).groupBy("target").agg(F.sum("rank").alias("rank_sum"))
+    with spread(edges):
+        sums = saved(edges.join(ranks, edges.src == ranks.id).groupBy("target").agg(F.sum("rank").alias("rank_sum")))
     named = sums.join(index, sums.target == index.id).select("name", "rank_sum").orderBy(F.desc("rank_sum"), "name")
     return named if k is None else named.limit(k)

@@ -1,0 +1,29 @@
+import pytest
+
+from embedmesh.operators import iterate
+from embedmesh.plans import ranges
+
+
+def test_a_task_s_share_follows_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "BYTES_A_TASK", 1000, raising=False)
+    spark.range(5000).selectExpr("id as src", "id * 7 % 5000 + 10000 as target").coalesce(1).write.parquet(f"{tmp_path}/e")
+    edges = spark.read.parquet(f"{tmp_path}/e")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    ids = edges.selectExpr("explode(array(src, target)) as id").distinct()
+    used = []
+    own = iterate.saved
+    monkeypatch.setattr(iterate, "saved", lambda df: used.append(ranges.parts(spark)) or own(df))
+    ranks = iterate.pagerank(edges, ids, max_iter=1, eps=None)
+    assert len(used) == 3 and min(used) >= ranges.input_bytes(edges) // 1000 > int(before)
+    assert ranks.count() == 10000 and ranks.selectExpr("sum(rank)").first()[0] == pytest.approx(1)
+    assert [tuple(r) for r in iterate.component_sizes(edges).collect()] == [(2, 5000)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    with pytest.raises(ZeroDivisionError), ranges.spread(edges):
+        1 / 0  # noqa: B018
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_inputs_of_unknown_size(spark):
+    made = spark.createDataFrame([(1, 2)], "src long, target long")
+    with ranges.spread(made.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else made):
+        assert ranges.parts(spark) < 1000
