@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,35 +11,6 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Of the files that a graph is read from; their rows, sorted or hashed, take some fifty times as much of a task's memory.
-BYTES_A_TASK = 4 << 20
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Of all files that df reads; what has no known size counts as nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)
-
-
-@contextmanager
-def spread(df: DataFrame) -> Iterator[None]:
-    """What runs inside shuffles into as many partitions as the input of df needs, and no fewer than the session says, so that
-    a task's share doesn't grow with the input; AQE joins what turns out small. Only for what is written inside: a plan that
-    runs later has the session's own number."""
-    spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
-    before = parts(spark)
-    needed = max(before, -(-input_bytes(df) // BYTES_A_TASK))
-    if needed == before:
-        yield
-        return
-    spark.conf.set(name, needed)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def range_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> list[int]:
     """At most n - 1 ascending cut values that split the rows about evenly by a whole-number key. One cheap scan of the
     key alone; the values become literals of the plan, so a task that runs again puts every row where it was before."""
